@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
+from .chat import op5_chat
 from .linededup import OP10_SQL, op10_line_dedup
+from .topk import OP4_SQL, op4_topk
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_topk": op4_topk,
+    "op5_chat": op5_chat,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_topk": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
 }
