@@ -18,11 +18,15 @@ PATTERN = regex.compile(public_tokenizers.PATTERN)
 KEPT = 400_000
 
 
+def chained(parts: Iterable[list[int]]) -> list[int]:
+    return list(chain.from_iterable(parts))
+
+
 class _Table(dict):
     """chunk -> ids; ``space`` is put before a chunk. None: it begins or ends with white space, so isn't safe."""
 
-    def __init__(self, encode: Callable[[str], list[int]], space: str):
-        self.encode, self.space = encode, space
+    def __init__(self, encode: Callable, join: Callable, space: str):
+        self.encode, self.join, self.space = encode, join, space
 
     def __missing__(self, chunk: str):
         if len(self) >= KEPT:
@@ -31,20 +35,23 @@ class _Table(dict):
             value = None
         else:
             text = self.space + chunk
-            value = list(chain.from_iterable(map(self.encode, PATTERN.findall(text))))
+            value = self.join(map(self.encode, PATTERN.findall(text)))
         self[chunk] = value
         return value
 
 
 class CachedEncoder:
-    """Whole texts to ids by ``encode``, which is given one piece of the pattern at a time."""
+    """Whole texts to ids by ``encode``, which is given one piece of the pattern at a time.
+
+    ``join`` puts together what ``encode`` returns: lists of ids, or with ``b"".join`` their bytes.
+    """
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.inner, self.first, self.plain = _Table(encode, " "), _Table(encode, ""), {}
-        self.encode_piece = encode
+    def __init__(self, encode: Callable, join: Callable = chained):
+        self.inner, self.first, self.plain = _Table(encode, join, " "), _Table(encode, join, ""), {}
+        self.encode_piece, self.join = encode, join
         self.newline = encode("\n")
 
-    def _slow(self, text: str) -> Iterator[list[int]]:
+    def _slow(self, text: str) -> Iterator:
         known, encode = self.plain, self.encode_piece
         for piece in PATTERN.findall(text):
             if (ids := known.get(piece)) is None:
@@ -53,7 +60,7 @@ class CachedEncoder:
                 ids = known[piece] = encode(piece)
             yield ids
 
-    def _parts(self, text: str) -> Iterable[list[int]]:
+    def _parts(self, text: str) -> Iterable:
         out, inner, newline = [], self.inner.__getitem__, self.newline
         for line in text.split("\n"):
             chunks = line.split(" ")
@@ -64,5 +71,5 @@ class CachedEncoder:
             out.extend(map(inner, chunks[1:]))
         return self._slow(text) if None in out else out[1:]
 
-    def __call__(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self._parts(text))) if text else []
+    def __call__(self, text: str):
+        return self.join(self._parts(text) if text else ())
