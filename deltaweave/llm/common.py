@@ -92,7 +92,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
-        _powers = tuple(np.cumprod(np.concatenate([[1], np.full(size - 1, r, np.uint64)]).astype(np.uint64)) for r in (_R, _INVERSE))
+        _powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, r, np.uint64)])) for r in (_R, _INVERSE))
     return _powers
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .chat import op5_chat
+from .embdedup import op9_embedding_dedup
+from .jaccard import op3_jaccard
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
 from .topk import OP4_SQL, op4_topk
@@ -11,8 +13,10 @@ from .topk import OP4_SQL, op4_topk
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
+    "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
