@@ -25,7 +25,7 @@ from .common import arrow, grams, mix, sliced, texts, words, written
 from .common import utf8 as bytes_of
 from .components import components
 
-SLICE = 8 << 20
+SLICE = 2 << 20
 #: Cells of the sketch of counts: a megabyte a task, 256 KB to each worker.
 SKETCH_BITS = 18
 PROFILE = "doc_id long, n long, k1 long, k2 long, prefix array<long>"
