@@ -27,7 +27,7 @@ TEMPER = 0.125
 #: Rows' worth of belief that a host takes from its suffix, and a suffix from the corpus; pseudo-counts of an evidence.
 HOST_WEIGHT, PSEUDO = 20.0, 1.0
 UND, UND_PRIOR = "und", 0.01
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _symbols() -> np.ndarray:

@@ -6,9 +6,11 @@ from .bpe import op1_bpe
 from .chat import op5_chat
 from .embdedup import op9_embedding_dedup
 from .jaccard import op3_jaccard
+from .langid import op7_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
 from .topk import OP4_SQL, op4_topk
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
