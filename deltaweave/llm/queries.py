@@ -9,6 +9,7 @@ from .jaccard import op3_jaccard
 from .langid import op7_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
+from .suffixdedup import op6_suffix_dedup
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op8_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_jaccard": op3_jaccard,
     "op4_topk": op4_topk,
     "op5_chat": op5_chat,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
