@@ -28,7 +28,9 @@ from .components import components
 SLICE = 2 << 20
 #: Cells of the sketch of counts: a megabyte a task, 256 KB to each worker.
 SKETCH_BITS = 18
-PROFILE = "doc_id long, n long, k1 long, k2 long, prefix array<long>"
+PROFILE = "doc_id long, n long, k1 long, k2 long, counts binary, prefix array<long>"
+#: Buckets of the counts that bound an intersection, and the most that one counts to.
+BUCKETS, MOST = 64, (1 << 16) - 1
 _LOW = (1 << 43) - 1
 
 
@@ -77,28 +79,44 @@ def _needed(a, b, percent: int):
 
 
 def profiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix): size, two sums that stand for the set, and the prefix in the order of rarity."""
+    """(doc_id, n, k1, k2, counts, prefix): size, sums that stand for the set, its counts by bucket, and its rarest shingles."""
     levels = count_levels(rows, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
-                n, k1, k2, prefix = [], [], [], []
+                n, k1, k2, counts, prefix = [], [], [], [], []
                 for own in shingle_sets(part, k):
                     size = len(own)
                     n.append(size)
                     k1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if size else 0)
                     k2.append(int(mix(own ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if size else 0)
+                    counts.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=BUCKETS), MOST).astype(np.uint16).tobytes())
                     keep = size - -(-size * percent // 100) + 1 if size else 0
                     order = np.argsort(levels[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]
                     prefix.append(own[order].view(np.int64))
                 lengths = np.cumsum([0, *map(len, prefix)])
                 flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
-                yield arrow(PROFILE, (part.column(0), n, k1, k2, pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)))
+                yield arrow(PROFILE, (part.column(0), n, k1, k2, counts, pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)))
 
     return rows.mapInArrow(run, PROFILE)
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose counts by bucket allow an intersection that links; the others can't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.int64) for i in (2, 3))
+            least = np.where((x == MOST) & (y == MOST), 1 << 40, np.minimum(x, y)).sum(1)
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            fits = pa.array(least * (100 + percent) >= sizes * percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], ["a", "b"])
+
+    one, two = (classes.select(F.col("rep").alias(v), F.col("counts").alias(f"counts_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets link. Sets are made anew for the documents that occur, found by a Bloom filter."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -141,7 +159,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     profile = written(profiles(rows, k, percent), "profiles")
     rows = rows.where("doc_id is not null")
     set_key = ["n", "k1", "k2"]
-    classes = written(profile.where("n > 0 and doc_id is not null").groupBy(*set_key).agg(F.min(F.struct("doc_id", "prefix")).alias("s")).select(*set_key, F.col("s.doc_id").alias("rep"), F.col("s.prefix").alias("prefix")), "classes")
+    classes = written(profile.where("n > 0 and doc_id is not null").groupBy(*set_key).agg(F.min(F.struct("doc_id", "counts", "prefix")).alias("s")).select(*set_key, F.col("s.doc_id").alias("rep"), "s.counts", "s.prefix"), "classes")
     grouped = classes.select("rep", "n", "prefix", F.xxhash64("n", "prefix").alias("g"))
     members = grouped.select("rep", "n", "g")
     groups = grouped.groupBy("g").agg(F.min(F.struct("rep", "n", "prefix")).alias("s"), F.count("*").alias("size")).select("g", "s.*", "size")
@@ -173,7 +191,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     group_pairs = met.join(pivots, "tag").where((F.col("g") != F.col("pg")) & fits(F.col("n"), F.col("pn")) & (F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pivot_pos")) >= _needed(F.col("n"), F.col("pn"), percent))).select("g", "pivot")
     inside = groups.where("size > 1").select("g", F.col("rep").alias("pivot"))
     first = group_pairs.unionByName(inside).join(members.select("g", "rep"), "g").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    first = written(first, "pairs")
+    first = written(_possible(first, classes, percent), "pairs")
     links = written(_verified(first, rows, k, percent), "links")
     reached = components(links)
 
@@ -187,8 +205,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     near = x.join(y, "h").where((F.col("c1") < F.col("c2")) & fits(F.col("n1"), F.col("n2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _needed(F.col("n1"), F.col("n2"), percent))).select("g1", "c1", "g2", "c2").distinct()
     one, two = (part.select(F.col("rep").alias(v), F.col("g").alias(f"g{i}"), F.col("c").alias(f"c{i}")) for i, v in ((1, "p"), (2, "q")))
     second = near.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    tried = first.select("a", "b")
-    second = written(second.join(tried, ["a", "b"], "left_anti"), "pairs")
+    second = written(_possible(second, classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(written(_verified(second, rows, k, percent), "links"))
         reached = components(links)
