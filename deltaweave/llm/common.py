@@ -44,6 +44,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of ``df``, twice as many at the very most: those whose key's hash is below a bound.
+
+    The bound follows from one count, so no task sends more than its share, and the same rows give the same sample.
+    """
+    n = df.count()
+    if n > most:
+        df = df.where(F.shiftrightunsigned(F.xxhash64(key), 33) < int(most / n * (1 << 31)))
+    return df.limit(2 * most)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string column without nulls, and the n + 1 offsets of its rows in them; no copy."""
     kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, written
+from .common import arrow, hash_sample, written
 from .components import components
 
-#: Rows that the rotation is learned on, those with the least hash.
+#: Rows that the rotation is learned on, about; chosen by the hash of their id.
 SAMPLE = 10_000
 CHUNKS = 6
 
@@ -58,7 +58,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 *
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite)
     classes = usable.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
-    sample = [np.array(r["x"]) for r in classes.select("x").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()]
+    sample = [np.array(r["x"]) for r in hash_sample(classes.select("x", "rep"), "rep", SAMPLE).collect()]
     models = {}
     for d in {len(x) for x in sample}:
         x = np.array([v for v in sample if len(v) == d])

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, sliced, written
+from .common import arrow, hash_sample, sliced, written
 from .common import utf8 as bytes_of
 
-#: Declared texts that the trigrams are learned on at most, those with the least hash of their id.
+#: Declared texts that the trigrams are learned on, about; chosen by the hash of their id.
 SAMPLE = 4000
 #: Languages that are learned at most, and declared texts that one needs.
 LANGUAGES, LEAST = 32, 3
@@ -104,7 +104,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
     """
     column = lambda c: (F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.substring_index(column(declared_col), "-", 1)).alias("declared"), F.lower(column(suffix_col)).alias("suffix"), F.lower(column(host_col)).alias("host"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    sample = rows.where("declared is not null and declared <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "declared").limit(SAMPLE).collect()
+    sample = hash_sample(rows.where("declared is not null and declared <> ''"), "doc_id", SAMPLE).select("text", "declared").toArrow().to_pylist()
     langs, table = learn([(r["text"], r["declared"]) for r in sample])
     known, k = written(_evidence(rows, langs, table), "evidence"), len(langs)
 

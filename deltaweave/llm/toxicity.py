@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, sliced, texts, words
+from .common import arrow, hash_sample, sliced, texts, words
 from .common import utf8 as bytes_of
 
-#: Labelled texts that the machine is fitted on at most, those with the least hash of their id.
+#: Labelled texts that the machine is fitted on, about; chosen by the hash of their id.
 SAMPLE = 6000
 LANDMARKS = 96
 NEGATIVES = 30_000
@@ -271,9 +271,9 @@ class _Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, most: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts, those with the least hash of their id; null labels and ids are none."""
+    """About ``most`` labelled texts, chosen by the hash of their id; null labels and ids are none."""
     chosen = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label is not null")
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = hash_sample(chosen.dropDuplicates(["doc_id"]), "doc_id", most)
     found = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toArrow().sort_by("doc_id")
     return list(zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
 
