@@ -22,7 +22,7 @@ from .common import arrow, hash_sample, sliced, texts, words
 from .common import utf8 as bytes_of
 
 #: Labelled texts that the machine is fitted on, about; chosen by the hash of their id.
-SAMPLE = 6000
+SAMPLE = 5000
 LANDMARKS = 96
 NEGATIVES = 30_000
 ROUNDS = 4
@@ -62,8 +62,11 @@ def matrix(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 _NORM = np.sqrt(np.maximum([sum(DECAY ** (2 * (k - i + 1)) * (k - i - 1) for i in range(n) for k in range(i + 2, min(n, i + SPAN))) for n in range(LONGEST + 1)], DECAY**6))
 
 
-def weigh(rows: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Of each word, the decayed sum of the table's values at its subsequences, normalised; table: 64^3 (x columns)."""
+def weigh(rows: np.ndarray, length: np.ndarray, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Of each word, the decayed sum of the table's values at its subsequences, normalised.
+
+    table: 64^3 rows (x columns), or fewer, then ``place`` has the row of each subsequence.
+    """
     order = np.argsort(-length, kind="stable")
     rows, upto = rows[order], -length[order]
     out = np.zeros((len(rows), *table.shape[1:]), np.float32)
@@ -76,7 +79,8 @@ def weigh(rows: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray
             solid = (rows[:n, i] > 0) & (rows[:n, k] > 0)
             for j in range(i + 1, k):
                 own = solid & (rows[:n, j] > 0)
-                value = table[ends + rows[:n, j] * 64] * np.float32(DECAY ** (k - i + 1))
+                code = ends + rows[:n, j] * 64
+                value = table[code if place is None else place[code]] * np.float32(DECAY ** (k - i + 1))
                 out[:n] += value * (own if value.ndim == 1 else own[:, None])
     out /= _NORM[np.maximum(-upto, 0)].reshape(-1, *[1] * (out.ndim - 1)).astype(np.float32)
     back = np.empty_like(out)
@@ -84,20 +88,26 @@ def weigh(rows: np.ndarray, length: np.ndarray, table: np.ndarray) -> np.ndarray
     return back
 
 
-def _own_tables(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Column z: the subsequences of word z with their weights, so that ``weigh`` with it is the kernel to that word."""
-    table = np.zeros((64**3, len(rows)), np.float32)
+def _own_tables(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column z: the subsequences of word z with their weights, so that ``weigh`` with it is the kernel to that word.
+
+    Only subsequences that occur have a row; the second array has its number, or that of row 0, which is empty.
+    """
+    place, found, rows_used = np.zeros(64**3, np.int32), [], 0
     for z, (row, n) in enumerate(zip(rows, length, strict=True)):
         for i in range(n):
             for k in range(i + 2, min(n, i + SPAN)):
                 for j in range(i + 1, k):
                     if row[i] and row[j] and row[k]:
-                        table[row[i] * 4096 + row[j] * 64 + row[k], z] += DECAY ** (k - i + 1) / _NORM[n]
-    return table
-
-
-def bag(text: str | None) -> set[str]:
-    return {w for w in (text or "").lower().split()}
+                        code = row[i] * 4096 + row[j] * 64 + row[k]
+                        if not place[code]:
+                            rows_used += 1
+                            place[code] = rows_used
+                        found.append((place[code], z, DECAY ** (k - i + 1) / _NORM[n]))
+    table = np.zeros((rows_used + 1, len(rows)), np.float32)
+    for at, z, weight in found:
+        table[at, z] += weight
+    return table, place
 
 
 def _packed(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,63 +153,70 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3)
 def train(rows: list[tuple[str | None, int]], seed: int = 5) -> Model:
     """rows: (text, label). Without both labels every text scores the share of label 1, or 0."""
     rng = np.random.default_rng(seed)
-    toxic, clean = ([b for b in (bag(t) for t, label in rows if label == want) if b] for want in (1, 0))
-    nothing = np.zeros(64**3, np.float32)
+    number: dict[str, int] = {}
+    bags: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for text, label in rows:
+        if own := {number.setdefault(w, len(number)) for w in (text or "").lower().split()}:
+            bags[1 if label == 1 else 0].append(np.fromiter(own, np.int64))
+    del rows
+    vocabulary = list(number)
+    del number
+    toxic, clean = bags[1], bags[0]
     if not toxic or not clean:
-        return Model(nothing, 1.0, -20.0 if not toxic else 0.1)
-    counts: dict[str, list[int]] = {}
-    for side, bags in enumerate((toxic, clean)):
-        for own in bags:
-            for w in own:
-                counts.setdefault(w, [0, 0])[side] += 1
+        return Model(np.zeros(64**3, np.float32), 1.0, -20.0 if not toxic else 0.1)
+    a, b = (np.bincount(np.concatenate(side), minlength=len(vocabulary)) for side in (toxic, clean))
+    long_enough = np.array([len(w) > 2 for w in vocabulary])
     # log odds of a word, less their standard error: what few occurrences suggest counts for little
-    odds = {w: np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1)) - np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) for w, (a, b) in counts.items()}
-    gain = {w: counts[w][0] * max(odds[w], 0) for w in counts if len(w) > 2}
-    landmarks = sorted(gain, key=lambda w: (-gain[w], w))[:LANDMARKS]
-    plain = [w for w, (a, b) in counts.items() if b and len(w) > 2]
-    tables = _own_tables(*_packed(landmarks))
-    gram = weigh(*_packed(landmarks), tables).astype(float)
+    odds = np.log((a + 0.5) / (len(toxic) + 1)) - np.log((b + 0.5) / (len(clean) + 1)) - np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    gain = np.where(long_enough, a * np.maximum(odds, 0), 0)
+    landmarks = np.argsort(-gain, kind="stable")[:LANDMARKS]
+    packed = lambda found: _packed([vocabulary[i] for i in found])
+    tables, at = _own_tables(*packed(landmarks))
+    gram = weigh(*packed(landmarks), tables, at).astype(float)
     values, axes = np.linalg.eigh((gram + gram.T) / 2)
     keep = values > 1e-4 * values.max()
     whiten = axes[:, keep] / np.sqrt(values[keep])  # Nystroem: features whose inner products are the kernel
 
-    def features(found: list[str]) -> np.ndarray:
-        return np.concatenate([weigh(*_packed(found[i : i + 4000]), tables) for i in range(0, len(found), 4000)]).astype(float) @ whiten if found else np.zeros((0, keep.sum()))
+    def features(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+        parts = [weigh(rows[i : i + 4000], length[i : i + 4000], tables, at).astype(float) @ whiten for i in range(0, len(rows), 4000)]
+        return np.concatenate(parts) if parts else np.zeros((0, keep.sum()))
 
-    rows, length = _packed(plain)
-    near = weigh(rows, length, tables[:, : min(40, len(landmarks))].sum(1))
+    plain = np.flatnonzero((b > 0) & long_enough)
+    rows_, length = packed(plain)
+    near = weigh(rows_, length, tables[:, : min(40, len(landmarks))].sum(1), at)
     chosen = np.zeros(len(plain), bool)
     chosen[np.argsort(-near, kind="stable")[: NEGATIVES // 2]] = True
     chosen[rng.choice(len(plain), min(len(plain), NEGATIVES // 4), replace=False)] = True
-    no = features([plain[i] for i in np.flatnonzero(chosen)])
-    witness = [max(b, key=lambda w: (gain.get(w, 0), w)) for b in toxic]
-    candidates = sorted({w for b in toxic for w in b if odds[w] > 0 and len(w) > 2})
-    place = {w: i for i, w in enumerate(candidates)}
-    of = features(candidates)
-    surely = [w for w in landmarks if counts[w][0] > 50 * counts[w][1]]  # so that an insult that always comes with a worse one is learned too
+    no = features(rows_[chosen], length[chosen])
+    candidates = np.unique(np.concatenate(toxic))
+    candidates = candidates[(odds[candidates] > 0) & long_enough[candidates]]
+    if not len(candidates):
+        return Model(np.zeros(64**3, np.float32), 1.0, -0.1)
+    place = np.full(len(vocabulary), -1)
+    place[candidates] = np.arange(len(candidates))
+    of = features(*packed(candidates))
+    witness = [own[gain[own].argmax()] for own in toxic]
+    surely = [w for w in landmarks if a[w] > 50 * b[w]]  # so that an insult that always comes with a worse one is learned too
     v = np.zeros(keep.sum())
     for _ in range(ROUNDS):
-        found = [w for w in witness if w in place] + 4 * surely
+        found = [w for w in witness if place[w] >= 0] + 4 * surely
         if not found:
             break
-        bent = features([_bent(w, rng) for w in found])
-        yes = np.concatenate([of[[place[w] for w in found]], bent])
+        yes = np.concatenate([of[place[found]], features(*_packed([_bent(vocabulary[w], rng) for w in found]))])
         y = np.concatenate([np.ones(len(yes)), -np.ones(len(no))])
         weight = np.concatenate([np.full(len(found), 1 / len(found)), np.full(len(found), 0.3 / len(found)), np.full(len(no), 10 / len(no))])
         v, base = _svm(np.vstack([yes, no]), y, weight)
-        value = of @ v
-        witness = [max(b, key=lambda w: (value[place[w]] if w in place else -9, w)) for b in toxic]
-        wrong = weigh(rows, length, (tables @ (whiten @ v).astype(np.float32)).astype(np.float32)) + base > -0.5
-        fresh = np.flatnonzero(wrong & ~chosen)  # clean words too near the border join the examples
-        chosen[fresh] = True
-        no = np.concatenate([no, features([plain[i] for i in fresh])])
-    table = (tables.astype(float) @ (whiten @ v)).astype(np.float32)
-
-    def worst(bags: list[set[str]]) -> np.ndarray:
-        found = sorted({w for b in bags for w in b})
-        at = {w: i for i, w in enumerate(found)}
-        value = weigh(*_packed(found), table)
-        return np.array([max(value[at[w]] for w in b) for b in bags])
+        value = np.append(of @ v, -9.0)
+        witness = [own[value[place[own]].argmax()] for own in toxic]
+        wrong = weigh(rows_, length, tables @ (whiten @ v).astype(np.float32), at) + base > -0.5
+        fresh = wrong & ~chosen  # clean words too near the border join the examples
+        chosen |= fresh
+        no = np.concatenate([no, features(rows_[fresh], length[fresh])])
+    table = (tables @ (whiten @ v).astype(np.float32))[at]
+    everything = np.concatenate([weigh(*_packed(vocabulary[i : i + 50_000]), table) for i in range(0, len(vocabulary), 50_000)])
+
+    def worst(side: list[np.ndarray]) -> np.ndarray:
+        return np.array([everything[own].max() for own in side])
 
     x = np.concatenate([worst(toxic), worst(clean)])
     y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
