@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .chat import op5_chat
-from .embdedup import op9_embedding_dedup
-from .jaccard import op3_jaccard
+from .embdedup import OP9_SQL, op9_embedding_dedup
+from .jaccard import OP3_SQL, op3_jaccard
 from .langid import op7_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
@@ -27,6 +27,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_jaccard": OP3_SQL,
     "op4_topk": OP4_SQL,
+    "op9_embedding_dedup": OP9_SQL,
     "op10_line_dedup": OP10_SQL,
 }
