@@ -172,3 +172,106 @@ def next_literal(reduced: DataFrame) -> DataFrame:
     """The literal that occurs most in open rules; of ties the greatest."""
     counted = reduced.groupBy("lit").agg(F.count("*").alias("n"))
     return counted.orderBy(F.desc("n"), F.desc(F.abs("lit")), F.desc("lit")).limit(1)
+
+
+class SatGraph:
+    """The rules as a host sees them: clauses and equivalences go in, assignments and learned clauses come out.
+
+    One instance, every step a few jobs over all its clauses; for many small instances: ``solver.solve_all``.
+    """
+
+    def __init__(self, clauses: DataFrame):
+        spark = clauses.sparkSession
+        self.clauses = scratch(clauses.select("rule", "lit").distinct(), "clauses")
+        self.pairs = spark.createDataFrame([], "atom long, lit long")
+        self.known = spark.createDataFrame([], "lit long")
+        self.assigned = spark.createDataFrame([], "lit long, kind int, rule long, level long")
+        self.level = 0
+        self.next_rule = (self.clauses.agg(F.max("rule")).first()[0] or 0) + 1
+        self.empty = False
+
+    def add_rule(self, literals: list[int]) -> int:
+        """A clause; its number."""
+        rule, self.next_rule = self.next_rule, self.next_rule + 1
+        self.empty |= not literals
+        more = self.clauses.sparkSession.createDataFrame([(rule, x) for x in literals], "rule long, lit long")
+        self.clauses = scratch(self.clauses.unionByName(more), "clauses")
+        return rule
+
+    def add_equivalence(self, atom: int, lit: int) -> None:
+        self.pairs = scratch(self.pairs.unionByName(self.pairs.sparkSession.createDataFrame([(atom, lit)], "atom long, lit long")), "pairs")
+
+    def simplify(self) -> bool:
+        """Takes in what the clauses entail until nothing more is found; False: they can't be satisfied."""
+        while not self.empty:
+            self.inferred = infer(self.clauses, self.pairs, self.known)
+            if self.inferred.root_conflict:
+                return False
+            self.known = scratch(self.inferred.singletons, "known")
+            whole, _ = probe(self.inferred.reduced, self.inferred.implication, self.inferred.used)
+            fresh = self.inferred.discovered_singletons.unionByName(whole).distinct().join(self.known, "lit", "left_anti").orderBy(literal_key(F.col("lit"))).first()
+            if fresh:
+                self.add_rule([fresh["lit"]])
+                continue
+            equal = self.inferred.discovered_equivalences.orderBy("atom", F.abs("lit")).first()
+            if not equal:
+                return True
+            self.add_equivalence(equal["atom"], equal["lit"])
+        return False
+
+    def select_literal(self, lit: int) -> None:
+        self.level += 1
+        self.assigned = self.assigned.unionByName(self.assigned.sparkSession.createDataFrame([(lit, 0, 0, self.level)], self.assigned.schema))
+
+    def propagate(self) -> int | None:
+        """The least violated rule, if propagation ends in one."""
+        self.assigned, violated = propagate(self.inferred.reduced, self.assigned, self.level)
+        return violated.agg(F.min("rule")).first()[0]
+
+    def derive_conflict_rule(self, violated: int) -> list[int]:
+        return sorted((r["lit"] for r in conflict_clause(self.inferred.reduced, self.assigned, violated).collect()), key=lambda x: (abs(x), x > 0))
+
+    def next_literal(self) -> int | None:
+        best = next_literal(reduce_rules(self.inferred.reduced, self.assigned.select("lit"))[0]).first()
+        return best["lit"] if best else None
+
+    def pop_to(self, level: int) -> None:
+        self.level = level
+        self.assigned = scratch(self.assigned.where(F.col("level") <= level), "assigned")
+
+    def all_assignments(self) -> DataFrame:
+        """(lit): chosen, propagated and single literals, and the literals that these stand for."""
+        own = self.assigned.select("lit").unionByName(self.known).distinct()
+        eq = self.inferred.equivalences
+        return own.join(eq, own["lit"] == eq["y"]).select(F.col("x").alias("lit")).distinct()
+
+    def solve(self) -> list[int] | None:
+        """A model in literal order, or None. Atoms that nothing decides are false."""
+        atoms = {r["atom"] for r in self.clauses.select(F.abs("lit").alias("atom")).distinct().collect()}
+        if not self.simplify():
+            return None
+        while True:
+            violated = self.propagate()
+            if violated is not None:
+                if self.level == 0:
+                    return None
+                clause = self.derive_conflict_rule(violated)
+                levels = {r["lit"]: r["level"] for r in self.assigned.collect()}
+                below = sorted({levels[-x] for x in clause} - {self.level})
+                self.add_rule(clause)
+                self.pop_to(below[-1] if below else 0)
+                if not self.simplify():
+                    return None
+                if not clause or self.level == 0:
+                    self.pop_to(0)
+                continue
+            lit = self.next_literal()
+            if lit is None:
+                break
+            self.select_literal(lit)
+        true = {r["lit"] for r in self.all_assignments().collect()}
+        value = {a: a if a in true else -a for a in atoms}
+        for r in self.inferred.equivalences.where("x > 0 and x <> y").collect():  # what stands for an undecided literal follows it
+            if r["x"] not in true and -r["x"] not in true:
+                value[r["x"]] = r["x"] if value.get(abs(r["y"]), -abs(r["y"])) == r["y"] else -r["x"]
+        return sorted(value.values(), key=lambda x: (abs(x), x > 0))

@@ -110,3 +110,20 @@ def test_translated_proof(spark):
     rules = spark.createDataFrame([(7, i, x) for i, r in enumerate(base) for x in r], "instance long, rule long, lit long")
     steps = spark.createDataFrame([(7, i, line) for i, line in enumerate(proof)], "instance long, step long, line string")
     assert [r["line"] for r in translate_all(rules, steps).orderBy("step").collect()] == lines
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_relational_search(spark, seed):
+    rng = random.Random(seed)
+    rules = [[rng.choice((-1, 1)) * rng.randint(1, 4) for _ in range(rng.choice((2, 3)))] for _ in range(12)]
+    model = sat_graph.SatGraph(clauses(spark, rules)).solve()
+    assert (model is not None) == any(True for _ in models(rules, 4))
+    if model:
+        assert all(set(r) & set(model) for r in rules)
+
+
+def test_search_with_equivalence_and_conflict(spark):
+    rules = [[1, 2], [-1, -2], [1, 3, 4], [-3, -4, 5], [-5, 3, 2], [-1, 4, -5]]
+    model = sat_graph.SatGraph(clauses(spark, rules)).solve()
+    assert all(set(r) & set(model) for r in rules)
+    assert sat_graph.SatGraph(clauses(spark, [[1], [-1]])).solve() is None
