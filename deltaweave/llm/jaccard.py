@@ -25,7 +25,7 @@ from .common import arrow, grams, mix, sliced, texts, words, written
 from .common import utf8 as bytes_of
 from .components import components
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Cells of the sketch of counts: 4 MB a task, 4 MB to each worker.
 SKETCH_BITS = 22
 PROFILE = "doc_id long, n long, k1 long, k2 long, counts binary, prefix array<long>"

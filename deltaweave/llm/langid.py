@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, hash_sample, sliced, written
+from .common import arrow, hash_sample, sliced, small_batches, written
 from .common import utf8 as bytes_of
 
 #: Declared texts that the trigrams are learned on, about; chosen by the hash of their id.
@@ -27,7 +27,7 @@ TEMPER = 0.125
 #: Rows' worth of belief that a host takes from its suffix, and a suffix from the corpus; pseudo-counts of an evidence.
 HOST_WEIGHT, PSEUDO = 20.0, 1.0
 UND, UND_PRIOR = "und", 0.01
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def _symbols() -> np.ndarray:
@@ -102,6 +102,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
     and empty ones too) is ``und``. ``accepted``: the language isn't ``und`` and its posterior is at least ``least``.
     Ties go to the language that is first by name. Null ids and repeated rows are rows like others.
     """
+    small_batches(df.sparkSession)
     column = lambda c: (F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.substring_index(column(declared_col), "-", 1)).alias("declared"), F.lower(column(suffix_col)).alias("suffix"), F.lower(column(host_col)).alias("host"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     sample = hash_sample(rows.where("declared is not null and declared <> ''"), "doc_id", SAMPLE).select("text", "declared").toArrow().to_pylist()

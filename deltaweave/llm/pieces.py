@@ -15,7 +15,7 @@ import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: Entries that a table holds at most before it starts anew.
-KEPT = 400_000
+KEPT = 300_000
 
 
 def chained(parts: Iterable[list[int]]) -> list[int]:
@@ -25,11 +25,11 @@ def chained(parts: Iterable[list[int]]) -> list[int]:
 class _Table(dict):
     """chunk -> ids; ``space`` is put before a chunk. None: it begins or ends with white space, so isn't safe."""
 
-    def __init__(self, encode: Callable, join: Callable, space: str):
-        self.encode, self.join, self.space = encode, join, space
+    def __init__(self, encode: Callable, join: Callable, space: str, most: int):
+        self.encode, self.join, self.space, self.most = encode, join, space, most
 
     def __missing__(self, chunk: str):
-        if len(self) >= KEPT:
+        if len(self) >= self.most:
             self.clear()
         if chunk[0].isspace() or chunk[-1].isspace():
             value = None
@@ -47,7 +47,7 @@ class CachedEncoder:
     """
 
     def __init__(self, encode: Callable, join: Callable = chained):
-        self.inner, self.first, self.plain = _Table(encode, join, " "), _Table(encode, join, ""), {}
+        self.inner, self.first, self.plain = _Table(encode, join, " ", KEPT), _Table(encode, join, "", KEPT // 10), {}
         self.encode_piece, self.join = encode, join
         self.newline = encode("\n")
 

@@ -23,7 +23,7 @@ from .bloom import bloom, may_hold
 from .common import arrow, grams, shuffle_partitions, sliced, texts, words, written
 from .common import utf8 as bytes_of
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: So many rows on are compared as well in either order.
 NEIGHBOURS = 4
 MARK = "h long, doc_id long, at int, after binary, before binary"

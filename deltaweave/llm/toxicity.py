@@ -27,7 +27,7 @@ LANDMARKS = 96
 NEGATIVES = 30_000
 ROUNDS = 4
 DECAY, SPAN, LONGEST = 0.6, 8, 24
-SLICE = 2 << 20
+SLICE = 1 << 20
 KNOWN = 2_000_000
 
 
