@@ -22,6 +22,19 @@ def chained(parts: Iterable[list[int]]) -> list[int]:
     return list(chain.from_iterable(parts))
 
 
+class _Pieces(dict):
+    """Piece of the pattern -> ids."""
+
+    def __init__(self, encode: Callable, most: int):
+        self.encode, self.most = encode, most
+
+    def __missing__(self, piece: str):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[piece] = self.encode(piece)
+        return value
+
+
 class _Table(dict):
     """chunk -> ids; ``space`` is put before a chunk. None: it begins or ends with white space, so isn't safe."""
 
@@ -47,18 +60,14 @@ class CachedEncoder:
     """
 
     def __init__(self, encode: Callable, join: Callable = chained):
-        self.inner, self.first, self.plain = _Table(encode, join, " ", KEPT), _Table(encode, join, "", KEPT // 10), {}
+        self.plain = _Pieces(encode, KEPT // 2)
+        known = self.plain.__getitem__
+        self.inner, self.first = _Table(known, join, " ", KEPT), _Table(known, join, "", KEPT // 10)
         self.encode_piece, self.join = encode, join
         self.newline = encode("\n")
 
     def _slow(self, text: str) -> Iterator:
-        known, encode = self.plain, self.encode_piece
-        for piece in PATTERN.findall(text):
-            if (ids := known.get(piece)) is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                ids = known[piece] = encode(piece)
-            yield ids
+        return map(self.plain.__getitem__, PATTERN.findall(text))
 
     def _parts(self, text: str) -> Iterable:
         out, inner, newline = [], self.inner.__getitem__, self.newline
