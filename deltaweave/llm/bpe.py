@@ -27,7 +27,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 STATES = 200_000
 #: Bytes after which what all guesses share is emitted.
 LOOKAHEAD = 512
-SLICE = 8 << 20
+SLICE = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -34,7 +34,7 @@ GRAIN = 4
 COLUMNS = 3000
 #: Share of sequences by which the linear program may miss its bound.
 TIGHT = 5e-4
-SLICE = 8 << 20
+SLICE = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

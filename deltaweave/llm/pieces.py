@@ -15,7 +15,7 @@ import regex
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 #: Entries that a table holds at most before it starts anew.
-KEPT = 300_000
+KEPT = 150_000
 
 
 def chained(parts: Iterable[list[int]]) -> list[int]:
