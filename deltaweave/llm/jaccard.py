@@ -7,8 +7,8 @@ groups has passed the filters by size and position.
 
 Candidates come in two rounds. First each shingle's group with the earliest position is its pivot and meets the other
 groups there, and a group's first member the others: in a crowd of near copies that is enough to link it, at one pair a
-member. Then only members of different components that share a prefix shingle meet. So a crowd never makes all its
-pairs, and no pair that could join two components is left out.
+member. Then only members of different components that share a prefix shingle, or are of one group, meet. So a crowd
+never makes all its pairs, and no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -196,14 +196,16 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     links = written(_verified(first, rows, k, percent), "links")
     reached = components(links)
 
-    # the second round: members that share a shingle and are not yet together
+    # the second round: members that share a shingle and are not yet together; those of one group share all of its prefix
     part = members.join(reached, members["rep"] == reached["id"], "left").select("rep", "n", "g", F.coalesce("component_id", "rep").alias("c"))
     parts = written(part.groupBy("g", "n", "c").agg(F.count("*").alias("size")), "parts")
     spread = entries.select("g", "pos", "h").join(parts, "g")
     mixed = spread.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
     spread = written(spread.join(mixed, "h").select("h", "pos", "g", "n", "c"), "spread")
     x, y = (spread.select("h", *[F.col(c).alias(f"{c}{i}") for c in ("pos", "g", "n", "c")]) for i in (1, 2))
-    near = x.join(y, "h").where((F.col("c1") < F.col("c2")) & fits(F.col("n1"), F.col("n2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _needed(F.col("n1"), F.col("n2"), percent))).select("g1", "c1", "g2", "c2").distinct()
+    near = x.join(y, "h").where((F.col("c1") < F.col("c2")) & (F.col("g1") != F.col("g2")) & fits(F.col("n1"), F.col("n2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _needed(F.col("n1"), F.col("n2"), percent))).select("g1", "c1", "g2", "c2").distinct()
+    own = parts.select(F.col("g").alias("g1"), F.col("c").alias("c1")).join(parts.select(F.col("g").alias("g2"), F.col("c").alias("c2")), (F.col("g1") == F.col("g2")) & (F.col("c1") < F.col("c2")))
+    near = near.unionByName(own)
     one, two = (part.select(F.col("rep").alias(v), F.col("g").alias(f"g{i}"), F.col("c").alias(f"c{i}")) for i, v in ((1, "p"), (2, "q")))
     second = near.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     second = written(_possible(second, classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")

@@ -166,6 +166,20 @@ def test_jaccard_components(spark, docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
 
 
+def test_links_inside_a_group_without_its_first_member(spark, docs):
+    rng = random.Random(61)
+    rare, one, two = (prose(rng, n, 10**9).split() for n in (40, 60, 60))
+    rows = [(1, " ".join(rare + one)), (2, " ".join(rare + two)), (3, " ".join([*rare, *two[:-1], "other"]))]
+    for i in range(12):  # what differs is common, so that all three have the same prefix
+        for j, end in enumerate((one, two, [*two[:-1], "other"])):
+            rows.append((100 + 3 * i + j, " ".join([prose(rng, 200, 10**9), *rare[-2:], *end])))
+    profile = {r.doc_id: (r.n, r.prefix) for r in jaccard.profiles(docs(rows).select("doc_id", "text"), 3, 90).collect()}
+    assert profile[1] == profile[2] == profile[3]
+    expected = brute_components(rows)
+    assert [expected[i][1] for i in (1, 2, 3)] == [1, 2, 2]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(rows)).collect()} == expected
+
+
 def test_components_of_paths_and_cliques(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(i, j) for i in range(6) for j in range(i)] + [(9, 9)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
