@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from deltaweave.llm import bpe, jaccard, langid, linededup, packing, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
 from deltaweave.llm.components import components
@@ -166,6 +167,19 @@ def test_jaccard_components(spark, docs):
     assert jaccard.jaccard_components(docs([])).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline(spark, tmp_path):
+    rng = random.Random(62)
+    base = prose(rng, 300, 5000).split()
+    spread = list(base)
+    for i in range(0, 300, 50):  # Jaccard 0.82 by five words, 0.88 by three
+        spread[i + 20] = f"z{i}"
+    rows = [(1, " ".join(base)), (2, " ".join(base[:100] + prose(rng, 45, 10**9).split() + base[100:])), (3, " ".join(spread)), (4, prose(rng, 300, 5000)), (5, " ".join(base[:150]))]
+    df = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = brute_components(rows, 5, 80)
+    assert [i for i in expected if expected[i][1] == i] == [1, 4, 5]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == [1, 4, 5]
+
+
 def test_links_inside_a_group_without_its_first_member(spark, docs):
     rng = random.Random(61)
     rare, one, two = (prose(rng, n, 10**9).split() for n in (40, 60, 60))
