@@ -6,6 +6,11 @@ combined before the shuffle). The others carry, as hashes of words, what follows
 k-gram and following words, and again by k-gram and preceding words, dealt out by ranges so that a passage that a third
 of all documents share lies over many tasks. Neighbours are compared: matches are extended to the right and to the
 left, and where they are ``least`` words or longer, the later occurrence is a repeat of the earlier.
+
+Rows of one k-gram that may not all have met (more than the window, or at the border of a batch) are settled exactly:
+for each split of the words that a k-gram lacks into some before and the rest behind, a hash of the k-gram and those words
+is a key, and what isn't the first occurrence of its key is a repeat. Rows that share all they have with an earlier one
+are left out there, as that one stands for them.
 """
 
 from __future__ import annotations
@@ -20,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, may_hold
-from .common import arrow, grams, shuffle_partitions, sliced, texts, words, written
+from .common import arrow, grams, mix, shuffle_partitions, sliced, texts, words, written
 from .common import utf8 as bytes_of
 
 SLICE = 1 << 20
 #: So many rows on are compared as well in either order.
 NEIGHBOURS = 4
 MARK = "h long, doc_id long, at int, after binary, before binary"
-#: What a task says: a span to drop and the document it repeats (kind 0), or rows at its borders (kinds 1 to 4).
+#: What a task says: a span to drop and the document it repeats (kind 0), rows at its borders (kinds 1 to 4), or a row to settle by keys (kind 5).
 FOUND = "kind int, part int, h long, doc_id long, at int, after binary, before binary, start int, stop int, other long"
+KEYS = "key long, doc_id long, at int, left int"
 SPANS = "doc_id long, starts array<int>, stops array<int>, others array<long>"
 
 
@@ -113,8 +119,14 @@ def _spans(ok: np.ndarray, x: _Rows, y: _Rows, right: np.ndarray, left: np.ndarr
             yield of.doc[i], of.at[i] - left[i], of.at[i] + right[i], other.doc[i]
 
 
-def _compare(rows: _Rows, k: int, least: int) -> tuple[list, np.ndarray]:
-    """Spans to drop, and for each row the earliest row of its run of matching neighbours."""
+def _all_of(x: _Rows, y: _Rows) -> np.ndarray:
+    """Whether the earlier y has all the words that x has around the same k-gram, so that it stands for x in any window."""
+    held = [((a == b) | (a == 0)).all(1) for a, b in ((x.after, y.after), (x.before, y.before))]
+    return (x.h == y.h) & held[0] & held[1] & _later(x, y)
+
+
+def _compare(rows: _Rows, k: int, least: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Spans to drop, for each row the earliest row of its run of matching neighbours, and the rows that another stands for."""
     x, y = rows.pick(slice(1, None)), rows.pick(slice(0, -1))
     ok, right, left = _match(x, y, k, least)
     run = np.concatenate([[0], np.cumsum(~ok)])
@@ -124,16 +136,64 @@ def _compare(rows: _Rows, k: int, least: int) -> tuple[list, np.ndarray]:
     top = rows.pick(best)
     ok, right, left = _match(rows, top, k, least)
     spans += _spans(ok, rows, top, right, left)
+    stood = _all_of(rows, top)
+    stood[1:] |= _all_of(rows.pick(slice(1, None)), rows.pick(slice(0, -1)))
     for away in range(2, NEIGHBOURS + 1):  # one that shares more on one side may stand between two that share more in all
         x, y = rows.pick(slice(away, None)), rows.pick(slice(0, -away))
         spans += _spans(*(m := _match(x, y, k, least))[:1], x, y, *m[1:])
-    return spans, best
+    return spans, best, stood
+
+
+def _unmet(h: np.ndarray) -> np.ndarray:
+    """The rows of a batch whose k-gram has more rows than the window, or may go on in another batch."""
+    begins = np.concatenate([[True], h[1:] != h[:-1]])
+    sizes = np.diff(np.append(np.flatnonzero(begins), len(h)))
+    return (sizes > NEIGHBOURS + 1)[np.cumsum(begins) - 1] | (h == h[0]) | (h == h[-1])
+
+
+def _keys(rows: _Rows, reach: int) -> Iterator[tuple]:
+    """(key, document, at, words on the left) of each window around the k-grams that lies in its text."""
+    behind, ahead = [rows.h.view(np.uint64)], [np.zeros(len(rows), np.uint64)]
+    for i in range(reach):
+        behind.append(mix(behind[-1] * np.uint64(31) + rows.after[:, i]))
+        ahead.append(mix(ahead[-1] * np.uint64(31) + rows.before[:, i] + np.uint64(1)))
+    for left in range(reach + 1):
+        own = np.ones(len(rows), bool)
+        if left:
+            own &= rows.before[:, left - 1] != 0
+        if left < reach:
+            own &= rows.after[:, reach - left - 1] != 0
+        i = np.flatnonzero(own)
+        key = mix(behind[reach - left][i] ^ mix(ahead[left][i] + np.uint64(left)))
+        yield key.view(np.int64), rows.doc[i], rows.at[i].astype(np.int32), np.full(len(i), left, np.int32)
+
+
+def _settled(rows: DataFrame, k: int, least: int) -> DataFrame:
+    """Spans of those rows that aren't the first occurrence of a window of ``least`` words, and the document of the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for columns in _keys(_Rows.of(batch, least - k), least - k):
+                    yield arrow(KEYS, columns)
+
+    keys = rows.select("h", "doc_id", "at", "after", "before").mapInArrow(run, KEYS)
+    first = written(keys.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
+    seen = bloom(first, "key")
+
+    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(seen, batch.column(0).to_numpy(zero_copy_only=False))))
+
+    later = F.struct("doc_id", "at") > F.col("first")
+    return keys.mapInArrow(recur, KEYS).join(first, "key").where(later).select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + least).alias("stop"), F.col("first.doc_id").alias("other"))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], k: int, least: int, settle: bool) -> Iterator[pa.RecordBatch]:
     """Compares the rows of one task, a batch at a time; before a batch stand the last row so far and its run's earliest.
 
     At the borders: the first row (kind 1), the last (2), the earliest of the first row's run (3) and of the last's (4).
+    With ``settle``, rows that may not have met all others of their k-gram (kind 5).
     """
     part, carry = TaskContext.get().partitionId(), None
 
@@ -148,13 +208,16 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int, least: int) -> Iterator[pa.
         begins = carry is None
         if not begins:
             rows = carry.join(rows)
-        spans, best = _compare(rows, k, least)
+        spans, best, stood = _compare(rows, k, least)
         for doc, start, stop, other in spans:
             n = len(doc)
             yield arrow(FOUND, ([0] * n, [part] * n, [0] * n, doc, [0] * n, [b""] * n, [b""] * n, start.astype(np.int32), stop.astype(np.int32), other))
         if begins:
             yield say(1, rows.pick([0]))
             yield say(3, rows.pick([best[0]]))
+        if settle:
+            fresh = rows.pick(slice(0 if begins else 2, None))
+            yield say(5, fresh.pick(_unmet(fresh.h) & ~stood[0 if begins else 2 :]))
         carry = rows.pick([best[-1], len(rows) - 1])
     if carry is not None:
         yield say(2, carry.pick([1]))
@@ -229,9 +292,11 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
     for near, far in (("after", "before"), ("before", "after")):
         order = ["h", near, far, "doc_id", "at"]
         dealt = kept.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        said = written(dealt.mapInArrow(lambda batches: _scan(batches, k, least), FOUND), "spans")
+        said = written(dealt.mapInArrow(lambda batches, settle=near == "after": _scan(batches, k, least, settle), FOUND), "spans")
         found.append(said.where("kind = 0").select("doc_id", "start", "stop", "other"))
-        borders = _borders(said.where("kind > 0").collect(), k, least)
+        if near == "after":
+            found.append(_settled(said.where("kind = 5"), k, least))
+        borders = _borders(said.where("kind between 1 and 4").collect(), k, least)
         if borders:
             found.append(docs.sparkSession.createDataFrame(borders, "doc_id long, start int, stop int, other long"))
     spans = found[0]

@@ -240,6 +240,17 @@ def test_repeated_passages(spark, docs):
         assert word_list(kept[i]) == [x for j, x in enumerate(w) if j not in got.get(i, ())]
 
 
+def test_repeats_in_a_template_that_neighbours_miss(spark, docs):
+    rng = random.Random(71)
+    heads, body, feet = [prose(rng, 5, 10**9) for _ in range(8)], prose(rng, 40, 10**9), [prose(rng, 5, 10**9) for _ in range(8)]
+    pairs = [(h, f) for h in heads for f in feet for _ in range(3)]
+    rng.shuffle(pairs)
+    rows = [(i, " ".join([prose(rng, 30, 10**9), h, body, f, prose(rng, 30, 10**9)])) for i, (h, f) in enumerate(pairs)]
+    got = {r.doc_id: {x for a, b in zip(r.starts, r.stops, strict=True) for x in range(a, b)} for r in suffixdedup.repeated_spans(docs(rows)).collect()}
+    expected = brute_repeats(rows, 50)
+    assert len(expected) == 128 and got == expected
+
+
 def test_repeats_of_odd_rows(spark, docs):
     out = suffixdedup.repeated_spans(docs([(1, "x " * 300), (1, "x " * 300), (None, "x " * 300), (2, "y " * 60)])).collect()
     assert {r.doc_id for r in out} <= {1, 2}
