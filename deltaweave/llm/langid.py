@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, hash_sample, sliced, small_batches, written
+from .common import arrow, sliced, small_batches, written
 from .common import utf8 as bytes_of
 
-#: Declared texts that the trigrams are learned on, about; chosen by the hash of their id.
-SAMPLE = 4000
-#: Languages that are learned at most, and declared texts that one needs.
-LANGUAGES, LEAST = 32, 3
+#: Declared texts that the trigrams are learned on, about, chosen by a hash; of each language so many at least, if there are.
+SAMPLE, EACH = 4000, 50
+#: Declared texts that a language needs, of all rows.
+LEAST = 3
 #: Trigrams overlap and depend on each other: the share of their evidence that counts.
 TEMPER = 0.125
 #: Rows' worth of belief that a host takes from its suffix, and a suffix from the corpus; pseudo-counts of an evidence.
@@ -57,8 +57,7 @@ def learn(rows: list[tuple[str | None, str]]) -> tuple[list[str], np.ndarray]:
     for text, lang in rows:
         if text:
             texts.setdefault(lang, []).append(text.encode("utf-8", "replace"))
-    langs = sorted(sorted(k for k, v in texts.items() if len(v) >= LEAST), key=lambda k: -len(texts[k]))[:LANGUAGES]
-    langs = sorted(k for k in langs if k != UND)
+    langs = sorted(k for k, v in texts.items() if len(v) >= LEAST and k != UND)
     table = np.full((1 << 18, len(langs) + 1), -np.log(1 << 15), np.float32)
     for i, lang in enumerate(langs):
         joined = texts[lang]
@@ -70,9 +69,25 @@ def learn(rows: list[tuple[str | None, str]]) -> tuple[list[str], np.ndarray]:
     return [*langs, UND], table
 
 
+def declared_sample(rows: DataFrame) -> list[tuple[str, str]]:
+    """(text, declared) to learn on: about ``SAMPLE`` of all in proportion, and ``EACH`` of a language or all that it has.
+
+    How many texts declare a language is counted over all rows; those below ``LEAST`` are no languages.
+    """
+    rows = rows.where((F.col("declared") != "") & (F.col("declared") != UND) & (F.col("text") != ""))
+    counts = {r["declared"]: r["n"] for r in rows.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).collect()}
+    if not counts:
+        return []
+    whole = sum(counts.values())
+    shares = [(lang, int(min(1.0, max(SAMPLE / whole, EACH / n)) * (1 << 31))) for lang, n in counts.items()]
+    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "declared string, below long"))  # a row a language
+    chosen = rows.join(shares, "declared").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33) < F.col("below"))
+    return [(r["text"], r["declared"]) for r in chosen.select("text", "declared").limit(2 * (SAMPLE + EACH * len(counts))).toArrow().to_pylist()]
+
+
 def _evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """Per row: its tempered log likelihoods, the language its text alone suggests, and what else is known of it."""
-    sent = rows.sparkSession.sparkContext.broadcast(table)  # 2^18 x 33 floats at most
+    sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 MB a language
     out = "doc_id long, declared string, suffix string, host string, letters long, guess int, " + ", ".join(f"l{i} double" for i in range(len(langs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +120,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
     small_batches(df.sparkSession)
     column = lambda c: (F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string"))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.substring_index(column(declared_col), "-", 1)).alias("declared"), F.lower(column(suffix_col)).alias("suffix"), F.lower(column(host_col)).alias("host"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    sample = hash_sample(rows.where("declared is not null and declared <> ''"), "doc_id", SAMPLE).select("text", "declared").toArrow().to_pylist()
-    langs, table = learn([(r["text"], r["declared"]) for r in sample])
+    langs, table = learn(declared_sample(rows))
     known, k = written(_evidence(rows, langs, table), "evidence"), len(langs)
 
     # counts over all rows of the language that the text suggests: of the corpus, and by each evidence

@@ -9,8 +9,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+
 from deltaweave.llm import bpe, jaccard, langid, linededup, packing, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
 from deltaweave.llm.components import components
@@ -288,6 +290,14 @@ def test_hosts_settle_what_the_text_leaves_open(spark):
     assert (out[500], out[501]) == ("en", "es")
 
 
+def test_rare_languages_are_learned_whatever_the_size(spark):
+    df = spark.range(60000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20000 == 7, "kala maja puu vesi tuli").otherwise("alpha beta gamma delta").alias("text"), F.when(F.col("id") % 20000 == 7, "et").otherwise("en").alias("lang"), F.lit(None).cast("string").alias("source"))
+    many = spark.createDataFrame([(10**6 + 3 * i + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for _ in range(20)), f"x{i}", None) for i in range(40) for j in range(3)], df.schema)
+    out = {r.doc_id: r for r in langid.identify(df.unionByName(many)).where("doc_id % 20000 = 7 or doc_id >= 1000000").collect()}
+    assert [(out[i].language, out[i].accepted) for i in (7, 20007, 40007)] == [("et", True)] * 3
+    assert all(out[10**6 + 3 * i + j].language == f"x{i}" for i in range(40) for j in range(3))
+
+
 def test_pages_as_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@m.site.de:80/x", '<html lang="de-AT"><script>var a</script><p>Hallo</p>'), (2, None, None)], "page_id long, url string, html string")
     got = {r.doc_id: (r.text.strip(), r.lang, r.suffix, r.host) for r in langid.page_evidence(pages).collect()}
