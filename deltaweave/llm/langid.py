@@ -174,3 +174,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_page_language_id(spark, sf_dir: str) -> DataFrame:
+    """The whole of ``pages`` with all evidence: text, declared markup language, host and address suffix; doc_id is page_id."""
+    return identify(page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")), suffix_col="suffix", host_col="host")

@@ -6,7 +6,7 @@ from .bpe import op1_bpe
 from .chat import op5_chat
 from .embdedup import OP9_SQL, op9_embedding_dedup
 from .jaccard import OP3_SQL, op3_jaccard
-from .langid import op7_language_id
+from .langid import op7_language_id, op7_page_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op2_packing
 from .suffixdedup import op6_suffix_dedup
@@ -21,6 +21,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
+    "op7_page_language_id": op7_page_language_id,
     "op8_toxicity": op8_toxicity,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_line_dedup": op10_line_dedup,

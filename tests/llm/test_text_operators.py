@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-
 from deltaweave.llm import bpe, jaccard, langid, linededup, packing, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
 from deltaweave.llm.components import components
+from deltaweave.llm.queries import QUERIES
 
 DOCS = "doc_id long, text string, h string, pos int, n long, counts string"  # the last four clash with inner names
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,6 +304,17 @@ def test_pages_as_evidence(spark):
     assert got == {1: ("Hallo", "de-AT", "de", "m.site.de"), 2: ("", None, None, None)}
 
 
+def test_all_pages_with_suffix_and_markup(spark, tmp_path):
+    said = {"en": ("alpha beta gamma delta " * 20, "uk"), "es": ("uno dos tres cuatro " * 20, "mx")}
+    rows = [(100 * j + i, f"https://h{i}.{end}/", f'<html lang="{lang}"><p>{text}</p></html>') for j, (lang, (text, end)) in enumerate(said.items()) for i in range(40)]
+    rows += [(500, "https://new.uk/", "<p>x</p>"), (501, "https://new.mx/", "<p>x</p>"), (502, None, None)]
+    rows += [(503, "https://new.org/", '<html lang="en"><p>x</p></html>'), (504, "https://new.org/", '<html lang="es"><p>x</p></html>')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = {r.doc_id: r.language for r in QUERIES["op7_page_language_id"](spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    assert [out[i] for i in range(500, 505)] == ["en", "es", "und", "en", "es"]
+
+
 # --- 8
 
 
