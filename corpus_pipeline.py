@@ -26,9 +26,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified stay; ids are unique in ``documents``."""
-    accepted = identify(docs).where("accepted").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(accepted, docs["doc_id"] == accepted["__id"], "left_semi").select(*COLUMNS)
+    """Documents whose language is identified stay, row by row: ids may be null or repeated."""
+    own = ["doc_id", "text", "lang", "source"]
+    keyed = docs.withColumn("__key", F.xxhash64(*own, *[F.col(c).isNull() for c in own]))  # rows alike in these have one result
+    accepted = identify(keyed, id_col="__key").where("accepted").select(F.col("doc_id").alias("__id")).distinct()
+    return keyed.join(accepted, keyed["__key"] == accepted["__id"], "left_semi").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that the Jaccard join links, on shingles of five words from 0.8 on, one document stays, that of the least id."""
+    """Of each group that the Jaccard join links, on shingles of five words from 0.8 on, one document stays, that of the least id; rows without id link with nothing and stay."""
     kept = jaccard_components(docs, k=5, percent=80).where("component_id = doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").select(*COLUMNS)
+    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,6 +182,15 @@ def test_near_duplicates_of_the_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == [1, 4, 5]
 
 
+def test_null_and_repeated_ids_in_the_pipeline(spark, tmp_path):
+    rows = [(i, "alpha beta gamma delta " * 20, "en", "x") for i in range(40)] + [(None, "alpha gamma beta delta " * 20, "en", "x"), (None, "12 %%", "en", "x"), (7, "34 %%", "en", "x")]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, df, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([r[:2] for r in rows[:41]], key=str)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df.where("doc_id is null or doc_id <> 7"), str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0][:2], *[r[:2] for r in rows[40:42]]], key=str)
+
+
 def test_links_inside_a_group_without_its_first_member(spark, docs):
     rng = random.Random(61)
     rare, one, two = (prose(rng, n, 10**9).split() for n in (40, 60, 60))
