@@ -1,11 +1,11 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
 The encoding of a prefix ends in one token only, and a sequence of tokens is an encoding just if each two neighbours
-fit: no merge across their border comes before the merges that make them. So a transducer that guesses where tokens
-end has few live guesses: the positions from which what has been read since is the beginning of some token. A
-deterministic state is the set of those guesses, each with its place in the trie of tokens and the token before it;
-a transition says which token ends here. What all guesses share is emitted after a lookahead of no more than the
-longest token. States are made when first reached and kept in a table of bounded size, which starts anew when full.
+fit: no merge across their border comes before the merges that make them. So reading a byte has one output: the token
+that ends there, the longest suffix that is a token and fits the token before it. A deterministic state is the longest
+suffix of what has been read that begins some token; it stands for all positions from which a token may still come,
+and is determined from the trie of tokens when first reached. A token is certain once all those positions lie on the
+way through it; certain tokens are emitted every ``LOOKAHEAD`` bytes, so no more than that and the longest token is held.
 """
 
 from __future__ import annotations
@@ -13,20 +13,27 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, sliced, texts
-from .pieces import CachedEncoder
+from .common import arrow, sliced, spread, texts, worker_tools
+from .common import utf8 as bytes_of
+from .pieces import UnitEncoder, joinable
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Deterministic states that are kept at most.
-STATES = 200_000
-#: Bytes after which what all guesses share is emitted.
+PATTERN = regex.compile(public_tokenizers.PATTERN)
+#: Transitions, and pairs of tokens with whether they fit, that are kept at most.
+TRANSITIONS, PAIRS = 400_000, 300_000
+#: Bytes after which certain tokens are emitted.
 LOOKAHEAD = 512
+#: Pieces of the pattern whose ids are kept, in each of two generations.
+PIECES = 100_000
 SLICE = 1 << 20
 
 
@@ -41,35 +48,54 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
-        self.token_at: list[int] = [-1]
-        self.depth: list[int] = [0]
+        self.children: dict[int, int] = {}  # node * 256 + byte -> node
+        self.parent, self.byte, self.depth, self.token_at = [0], [0], [0], [-1]
+        children = self.children
         for token, rank in ranks.items():
             node = 0
-            for n, byte in enumerate(token, 1):
-                node = self.children[node].setdefault(byte, len(self.children))
-                if node == len(self.children):
-                    self.children.append({})
+            for byte in token:
+                if (after := children.get(key := node << 8 | byte)) is None:
+                    after = children[key] = len(self.parent)
+                    self.parent.append(node)
+                    self.byte.append(byte)
+                    self.depth.append(self.depth[node] + 1)
                     self.token_at.append(-1)
-                    self.depth.append(n)
+                node = after
             self.token_at[node] = rank
-        self.fits: dict[tuple[int, int], bool] = {}
         self.size = {i: len(t) for i, t in self.tokens.items()}
         self.edges: dict[int, tuple[list, list] | None] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.guesses: list[tuple[tuple[int, int], ...]] = []
-        self.known: dict[tuple, int] = {}
-        self.table: list[dict[int, tuple[int, int]]] = []
-        self._state(((0, -1),))
-
-    def _state(self, guess: tuple) -> int:
-        """guess: (trie node, token before; -1: none) of each live position, the latest last."""
-        if (found := self.known.get(guess)) is None:
-            found = self.known[guess] = len(self.guesses)
-            self.guesses.append(guess)
-            self.table.append({})
+        self.span = max(self.tokens) + 2
+        self.shorter: dict[int, int] = {0: 0}
+        self.steps: dict[int, int] = {}  # state * 256 + byte -> state
+        self.ending: dict[int, tuple] = {}  # state -> the tokens that are its suffixes, with their sizes, the longest first
+        self.fits: dict[int, bool] = {}
+
+    def _shorter(self, node: int) -> int:
+        """The longest proper suffix of a node's bytes that is a node."""
+        if (found := self.shorter.get(node)) is None:
+            found = self.shorter[node] = 0 if not self.parent[node] else self._after(self._shorter(self.parent[node]), self.byte[node])
+        return found
+
+    def _after(self, node: int, byte: int) -> int:
+        while (after := self.children.get(node << 8 | byte)) is None and node:
+            node = self._shorter(node)
+        return after or 0
+
+    def _step(self, key: int) -> int:
+        """Determines a transition."""
+        if len(self.steps) >= TRANSITIONS:
+            self.steps.clear()
+            self.ending.clear()
+        state = self.steps[key] = self._after(key >> 8, key & 255)
+        return state
+
+    def _ending(self, state: int) -> tuple:
+        out, node = [], state
+        while node:
+            if (token := self.token_at[node]) >= 0 and self._edge(token):
+                out.append((self.depth[node], token))
+            node = self._shorter(node)
+        found = self.ending[state] = tuple(out)
         return found
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -97,16 +123,12 @@ class Transducer:
             self.edges[token] = found
         return self.edges[token]
 
-    def _fit(self, a: int, b: int) -> bool:
-        if (found := self.fits.get((a, b))) is not None:
-            return found
-        if len(self.fits) >= 5 * STATES:
+    def _fit(self, key: int) -> bool:
+        """Whether the token before (-1: none) and a token fit; key: (before + 1) * span + token."""
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
-        right = self._edge(b)
-        found = right is not None
-        if found and a >= 0:
-            found = (left := self._edge(a)) is not None and self._apart(left[1], right[0])
-        self.fits[a, b] = found
+        a, b = divmod(key, self.span)
+        found = self.fits[key] = a == 0 or self._apart(self._edge(a - 1)[1], self._edge(b)[0])
         return found
 
     def _apart(self, xs: list, ys: list) -> bool:
@@ -126,22 +148,6 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: int, byte: int) -> tuple[int, int]:
-        ended, moved = -1, []
-        children, token_at = self.children, self.token_at
-        for node, last in self.guesses[state]:
-            if (node := children[node].get(byte)) is None:
-                continue
-            if ended < 0 <= (token := token_at[node]) and self._fit(last, token):
-                ended = token
-            if children[node]:
-                moved.append((node, last))
-        if ended < 0:
-            raise ValueError("the ranks have no encoding of this text: a byte or a merge is missing")
-        moved.append((0, ended))
-        step = self.table[state][byte] = (self._state(tuple(moved)), ended)
-        return step
-
     def _emit(self, ends: list[int], to: int) -> list[int]:
         """The tokens on the way to position ``to``; ends[i]: the token that ends behind byte i."""
         out = []
@@ -151,33 +157,92 @@ class Transducer:
         out.reverse()
         return out
 
-    def _shared(self, ends: list[int], state: int) -> int:
-        """The last position that lies on the way to all live ones."""
-        live = {len(ends) - self.depth[node] for node, _ in self.guesses[state]}
+    def _certain(self, ends: list[int], state: int) -> int:
+        """The last position that lies on the way to all from which a token may still come."""
+        live, node = {len(ends)}, state
+        while node:
+            live.add(len(ends) - self.depth[node])
+            node = self._shorter(node)
         while len(live) > 1:
             live.remove(last := max(live))
             live.add(last - self.size[ends[last - 1]] if last else 0)
         return live.pop()
 
-    def __call__(self, piece: str) -> list[int]:
+    def __call__(self, piece: str | bytes) -> list[int]:
         """The ids of one piece. A piece that is a token is that token."""
-        data = piece.encode("utf-8", "replace")
+        data = piece if isinstance(piece, bytes) else piece.encode("utf-8", "replace")
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        if len(self.guesses) >= STATES:
-            self._forget()
         out: list[int] = []
         ends: list[int] = []
-        state, table, add = 0, self.table, ends.append
-        for byte in data:
-            state, token = table[state].get(byte) or self._step(state, byte)
-            add(token)
-            if len(ends) >= LOOKAHEAD and (n := self._shared(ends, state)):
-                out += self._emit(ends, n)
-                del ends[:n]
+        state, before, span, add = 0, -1, self.span, ends.append
+        steps, ending, fits = self.steps.get, self.ending.get, self.fits.get
+        for n, byte in enumerate(data, 1):
+            key = state << 8 | byte
+            if (state := steps(key, -1)) < 0:
+                state = self._step(key)
+            held = len(ends)
+            for size, token in ending(state) or self._ending(state):
+                key = ((ends[held - size] if size <= held else before) + 1) * span + token
+                if (fit := fits(key)) is None:
+                    fit = self._fit(key)
+                if fit:
+                    add(token)
+                    break
+            else:
+                raise ValueError("the ranks have no encoding of this text: a byte or a merge is missing")
+            if n % LOOKAHEAD == 0 and (to := self._certain(ends, state)):
+                out += self._emit(ends, to)
+                before = out[-1]
+                del ends[:to]
         return out + self._emit(ends, len(ends))
 
 
+class _Pieces(dict):
+    """Piece of the pattern -> its ids; what isn't asked for goes with its generation."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if (value := self.old.get(piece)) is None:
+            value = tuple(self.encode(piece))
+        if len(self) >= PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
+
+
+class PieceEncoder:
+    """Units to ids, each match of the pattern separately, for ``UnitEncoder``."""
+
+    def __init__(self, transducer: Transducer):
+        self.known = _Pieces(transducer)
+
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        said = [u.decode("utf-8", "replace") for u in units]
+        plain = np.fromiter(map(joinable, said), bool, len(said))
+        many = np.zeros(len(units), np.int64)
+        own = [u for u, p in zip(said, plain, strict=True) if p]
+        pieces = PATTERN.findall("".join(own))  # one begins with a space where a unit begins, and only there
+        found = list(map(self.known.__getitem__, pieces))
+        begins = np.fromiter((p[0] == " " for p in pieces), bool, len(pieces))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+        if len(pieces):
+            many[plain] = np.add.reduceat(sizes, np.flatnonzero(begins))
+        others = [[*chain.from_iterable(map(self.known.__getitem__, PATTERN.findall(said[i])))] for i in np.flatnonzero(~plain)]
+        if not others:
+            return ids, many
+        many[~plain] = [len(x) for x in others]
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(others), np.int32, int(many[~plain].sum()))])
+        starts = np.zeros(len(units), np.int64)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        starts[order] = np.cumsum(many[order]) - many[order]
+        return ids[spread(starts, many)], many
+
+
 def _utf8_states() -> list[dict[int, int]]:
     """State -> byte -> state. 0: between characters; 1, 2, 3: so many bytes to come; 4 to 7: after E0, ED, F0, F4."""
     cont = range(0x80, 0xC0)
@@ -202,13 +267,31 @@ class StreamDecoder:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.whole: dict[int, str | None] = {}
+        size = max(tokens) + 1
+        self.lengths, self.parts = np.zeros(size, np.int64), np.ones(size, bool)
         for i, t in tokens.items():
-            try:
-                self.whole[i] = t.decode()
-            except UnicodeDecodeError:
-                self.whole[i] = None
+            state = 0
+            for byte in t:
+                state = UTF8[state].get(byte, -1)
+                if state < 0:
+                    break
+            self.whole[i] = t.decode() if state == 0 else None  # such a token leads from state 0 to state 0
+            self.lengths[i], self.parts[i] = len(t), state != 0
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.state, self.held = 0, bytearray()
 
+    def decoded(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """The texts of many rows of ids in UTF-8; only rows with parts of characters go through ``feed``."""
+        count = self.lengths[ids]
+        flat = self.bytes[spread(self.starts[ids], count)].tobytes()
+        at = np.concatenate([[0], np.cumsum(count)])[first].tolist()
+        parts = np.concatenate([[0], np.cumsum(self.parts[ids])])[first]
+        out = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(np.diff(parts)):
+            out[i] = (self.feed(ids[first[i] : first[i + 1]].tolist()) + self.end()).encode()
+        return out
+
     def feed(self, ids: Iterable[int]) -> str:
         out: list[str] = []
         whole = self.whole
@@ -240,15 +323,27 @@ class StreamDecoder:
         return out
 
 
-_made: dict = {}
-
-
-def _tools(path: str | None) -> tuple[CachedEncoder, StreamDecoder, dict[int, str]]:
+class _Tools:
     """One of each a Python worker; ranks are read from the installed vocabulary, or from ``path`` on every machine."""
-    if path not in _made:
+
+    def __init__(self, path: str | None):
         transducer = Transducer(load_ranks(path or public_tokenizers.path(RANKS)))
-        _made[path] = CachedEncoder(transducer), StreamDecoder(transducer.tokens), {i: str(i) for i in transducer.tokens}
-    return _made[path]
+        self.encoder, self.decoder = UnitEncoder(PieceEncoder(transducer)), StreamDecoder(transducer.tokens)
+        said = [f"{i} ".encode() for i in range(max(transducer.tokens) + 1)]
+        self.lengths = np.array([len(x) for x in said])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.digits = np.frombuffer(b"".join(said), np.uint8)
+
+    def decimals(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Each row's ids in decimal, joined by one space."""
+        count = self.lengths[ids]
+        flat = self.digits[spread(self.starts[ids], count)].tobytes()
+        at = np.concatenate([[0], np.cumsum(count)])[first].tolist()
+        return [flat[i : max(i, j - 1)] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def _tools(path: str | None) -> _Tools:
+    return worker_tools(("bpe", path), lambda: _Tools(path))
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
@@ -258,20 +353,25 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _, _ = _tools(ranks_path)
+        encoder = _tools(ranks_path).encoder
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
-                yield arrow("doc_id long, ids array<int>", (part.column(0), [encoder(t) for t in part.column(1).to_pylist()]))
+                ids, first = encoder(*bytes_of(part.column(1)))
+                yield arrow("doc_id long, ids array<int>", (part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))))
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
     """(doc_id long, text string): the text of each row's ids. Null ids: empty text; ill-formed UTF-8: U+FFFD."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decoder, _ = _tools(ranks_path)
+        decoder = _tools(ranks_path).decoder
         for batch in batches:
-            yield arrow("doc_id long, text string", (batch.column(0), [decoder.feed(ids or ()) + decoder.end() for ids in batch.column(1).to_pylist()]))
+            for i in range(batch.num_rows):
+                own = batch.slice(i, 1)
+                ids = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield arrow("doc_id long, text string", (own.column(0), pa.array([x.decode() for x in decoder.decoded(ids, np.array([0, len(ids)]))])))
 
     return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -283,16 +383,13 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """``encode``, then ``decode``, both as digests, in one pass so that no ids leave the Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder, decimal = _tools(ranks_path)
+        tools = _tools(ranks_path)
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
-                counts, coded, decoded = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = encoder(text)
-                    counts.append(len(ids))
-                    coded.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256((decoder.feed(ids) + decoder.end()).encode()).hexdigest())
-                yield arrow(DIGEST, (part.column(0), counts, coded, decoded))
+                ids, first = tools.encoder(*bytes_of(part.column(1)))
+                coded = [hashlib.sha256(x).hexdigest() for x in tools.decimals(ids, first)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in tools.decoder.decoded(ids, first)]
+                yield arrow(DIGEST, (part.column(0), np.diff(first), coded, decoded))
 
     return texts(docs, id_col, text_col).mapInArrow(run, DIGEST)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, hash_sample, written
+from .common import arrow, bounded_batches, hash_sample, written
 from .components import components
 
 #: Rows that the rotation is learned on, about; chosen by the hash of their id.
@@ -53,6 +53,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 *
     with nothing and is its own component. Of the pairs that link, those whose codes differ in at most ``radius`` bits
     are found, every one of them; none is capped. Ids are taken as unique; a null id is a row by itself.
     """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"))
     finite = F.forall("x", lambda v: F.coalesce((v > float("-inf")) & (v < float("inf")), F.lit(False))) & F.exists("x", lambda v: v != 0)
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite)

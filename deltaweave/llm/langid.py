@@ -8,14 +8,15 @@ trigrams come from counts over all rows by grouped aggregation, combined before
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow, sliced, small_batches, written
+from .common import bounded_batches, free_tools, local_rows, sliced, written
 from .common import utf8 as bytes_of
 
 #: Declared texts that the trigrams are learned on, about, chosen by a hash; of each language so many at least, if there are.
@@ -26,6 +27,8 @@ LEAST = 3
 TEMPER = 0.125
 #: Rows' worth of belief that a host takes from its suffix, and a suffix from the corpus; pseudo-counts of an evidence.
 HOST_WEIGHT, PSEUDO = 20.0, 1.0
+#: Rows of a table of priors, each an array of a double a language, that are broadcast at most.
+BROADCAST_ROWS = 50_000
 UND, UND_PRIOR = "und", 0.01
 SLICE = 1 << 20
 
@@ -80,7 +83,7 @@ def declared_sample(rows: DataFrame) -> list[tuple[str, str]]:
         return []
     whole = sum(counts.values())
     shares = [(lang, int(min(1.0, max(SAMPLE / whole, EACH / n)) * (1 << 31))) for lang, n in counts.items()]
-    shares = F.broadcast(rows.sparkSession.createDataFrame(shares, "declared string, below long"))  # a row a language
+    shares = F.broadcast(local_rows(rows.sparkSession, shares, "declared string, below long"))  # a row a language
     chosen = rows.join(shares, "declared").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33) < F.col("below"))
     return [(r["text"], r["declared"]) for r in chosen.select("text", "declared").limit(2 * (SAMPLE + EACH * len(counts))).toArrow().to_pylist()]
 
@@ -88,38 +91,45 @@ def declared_sample(rows: DataFrame) -> list[tuple[str, str]]:
 def _evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """Per row: its tempered log likelihoods, the language its text alone suggests, and what else is known of it."""
     sent = rows.sparkSession.sparkContext.broadcast(table)  # 1 MB a language
-    out = "doc_id long, declared string, suffix string, host string, letters long, guess int, " + ", ".join(f"l{i} double" for i in range(len(langs)))
+    said = [f for f in rows.schema if f.name != "text"]
+    own = [T.StructField("letters", T.LongType()), T.StructField("guess", T.IntegerType()), *(T.StructField(f"l{i}", T.DoubleType()) for i in range(len(langs)))]
+    names = [f.name for f in [*said, *own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tools()
         columns = [np.ascontiguousarray(c) for c in sent.value.T]
         for batch in batches:
-            for part in sliced(batch, 4, SLICE):
-                data, at = bytes_of(part.column(4))
+            for part in sliced(batch, batch.schema.get_field_index("text"), SLICE):
+                data, at = bytes_of(part.column("text"))
                 sums = np.zeros((part.num_rows, len(columns)))
                 letters = np.zeros(part.num_rows, np.int64)
                 held = np.flatnonzero(at[1:] > at[:-1])
-                if len(held):
-                    code = trigrams(data, at)
-                    for i, c in enumerate(columns):
-                        sums[held, i] = np.add.reduceat(c[code], at[:-1][held], dtype=np.float64)
-                    letters[held] = np.add.reduceat((SYMBOLS[data] > 0).astype(np.int64), at[:-1][held])
+                size = SLICE if part.num_rows == 1 else len(data)  # a long text is a slice of its own, read in windows
+                for a in range(0, len(data), max(size, 1)):
+                    own = data[a : a + size + 2]
+                    begins, offsets = (at[held], at) if part.num_rows > 1 else (np.zeros(1, np.int64), np.array([0, len(own)]))
+                    code = trigrams(own, offsets)[:size]
+                    for n, c in enumerate(columns):
+                        sums[held, n] += np.add.reduceat(c[code], begins, dtype=np.float64)
+                    letters[held] += np.add.reduceat((SYMBOLS[own[:size]] > 0).astype(np.int64), begins)
                 sums *= TEMPER
                 guess = np.where(letters > 0, sums.argmax(1), -1).astype(np.int32)
-                yield arrow(out, (*(part.column(i) for i in range(4)), letters, guess, *sums.T))
+                passed = [part.column(f.name) for f in said]
+                yield pa.RecordBatch.from_arrays([*passed, pa.array(letters), pa.array(guess), *map(pa.array, sums.T.copy())], names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, T.StructType([*said, *own]))
 
 
-def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", suffix_col: str | None = None, host_col: str | None = "source", least: float = 0.5) -> DataFrame:
-    """(doc_id, language, confidence, accepted), one row a row of ``df``.
+def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", suffix_col: str | None = None, host_col: str | None = "source", least: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, language, confidence, accepted), one row a row of ``df``; with ``keep`` those columns of it as well, in a struct ``kept``.
 
     ``declared``, ``suffix`` and ``host`` may be missing or null: then they say nothing. A text without letters (null
     and empty ones too) is ``und``. ``accepted``: the language isn't ``und`` and its posterior is at least ``least``.
     Ties go to the language that is first by name. Null ids and repeated rows are rows like others.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     column = lambda c: (F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string"))
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.substring_index(column(declared_col), "-", 1)).alias("declared"), F.lower(column(suffix_col)).alias("suffix"), F.lower(column(host_col)).alias("host"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.lower(F.substring_index(column(declared_col), "-", 1)).alias("declared"), F.lower(column(suffix_col)).alias("suffix"), F.lower(column(host_col)).alias("host"), F.coalesce(column(text_col), F.lit("")).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
     langs, table = learn(declared_sample(rows))
     known, k = written(_evidence(rows, langs, table), "evidence"), len(langs)
 
@@ -138,11 +148,16 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
         whole = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
         return F.transform(F.arrays_zip(counts.alias("c"), base.alias("b")), lambda p: (p["c"] + HOST_WEIGHT * p["b"]) / (whole + HOST_WEIGHT))
 
+    def small(table: DataFrame, name: str) -> DataFrame:
+        """Written and counted; few rows are broadcast, so that the texts' rows stay where they are."""
+        table = written(table, name)
+        return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
     corpus = F.array(*map(F.lit, map(float, prior)))
-    suffixes = priors("suffix").select(F.col("suffix").alias("suffix_"), smoothed(F.col("c"), corpus).alias("suffix_prior"))
+    suffixes = small(priors("suffix").select(F.col("suffix").alias("suffix_"), smoothed(F.col("c"), corpus).alias("suffix_prior")), "suffixes")
     hosts = priors("host").join(suffixes, F.col("suffix") == F.col("suffix_"), "left")
-    hosts = hosts.select(F.col("host").alias("host_"), F.col("suffix").alias("host_suffix"), smoothed(F.col("c"), F.coalesce("suffix_prior", corpus)).alias("host_prior"))
-    declared = priors("declared").select(F.col("declared").alias("declared_"), F.transform("c", lambda c: F.log(c + PSEUDO)).alias("declared_like"))
+    hosts = small(hosts.select(F.col("host").alias("host_"), F.col("suffix").alias("host_suffix"), smoothed(F.col("c"), F.coalesce("suffix_prior", corpus)).alias("host_prior")), "hosts")
+    declared = small(priors("declared").select(F.col("declared").alias("declared_"), F.transform("c", lambda c: F.log(c + PSEUDO)).alias("declared_like")), "declared")
 
     joined = (
         known.join(declared, known["declared"] == declared["declared_"], "left")
@@ -159,7 +174,7 @@ def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", d
     best = joined.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
     best = best.withColumn("at", F.array_position("scores", F.col("top"))).withColumn("confidence", 1 / F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top"))))
     language = F.when(F.col("letters") > 0, F.element_at(F.array(*map(F.lit, langs)), F.col("at").cast("int"))).otherwise(UND)
-    return best.select("doc_id", language.alias("language"), F.when(F.col("letters") > 0, F.col("confidence")).otherwise(F.lit(1.0)).alias("confidence")).withColumn("accepted", (F.col("language") != UND) & (F.col("confidence") >= least))
+    return best.select("doc_id", language.alias("language"), F.when(F.col("letters") > 0, F.col("confidence")).otherwise(F.lit(1.0)).alias("confidence"), *(["kept"] if keep else [])).withColumn("accepted", (F.col("language") != UND) & (F.col("confidence") >= least))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

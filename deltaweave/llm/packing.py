@@ -11,7 +11,6 @@ partitions, and a piece's rank says its sequence.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -22,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, shuffle_partitions, sliced, texts, written
-from .pieces import CachedEncoder
+from .common import arrow, local_rows, shuffle_partitions, sliced, spread, texts, worker_tools, written
+from .common import utf8 as bytes_of
+from .pieces import UnitEncoder, joinable
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The id that ends a document.
@@ -35,52 +35,81 @@ COLUMNS = 3000
 #: Share of sequences by which the linear program may miss its bound.
 TIGHT = 5e-4
 SLICE = 1 << 20
+#: Units that the library gets in one text; what it holds of a text is a hundred times the text.
+JOINED = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for 256, 257, ..."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: chr(b if b in own else next(others)) for b in range(256)}
+class _Units:
+    """Units to ids by the library's tokenizer, as it stands in the file: its added tokens are found in texts, too."""
 
-
-_encoder: dict[str | None, CachedEncoder] = {}
-
-
-def token_bytes(path: str | None = None) -> CachedEncoder:
-    """Whole texts to little-endian 32-bit ids, as bytes; special tokens' strings are ordinary text."""
-    if path not in _encoder:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY)).model
-        letters = _byte_letters()
-
-        def encode(piece: str) -> bytes:
-            ids = [t.id for t in model.tokenize("".join(map(letters.__getitem__, piece.encode("utf-8", "replace"))))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        _encoder[path] = CachedEncoder(encode, b"".join)
-    return _encoder[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token takes in what lies around it, so words can't be encoded one by one")
+        if any(c.isspace() for content in added.values() for c in content):
+            raise ValueError("an added token holds white space, so words can't be encoded one by one")
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.sizes = np.zeros(size, np.int64)  # bytes: a letter of the byte-level alphabet is one
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.sizes[i] = len(added[i].encode()) if i in added else len(token)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        said = [u.decode("utf-8", "replace") for u in units]
+        plain = np.fromiter(map(joinable, said), bool, len(said))
+        many = np.zeros(len(units), np.int64)
+        rows = np.flatnonzero(plain)
+        ids = np.zeros(0, np.int32)
+        if len(rows):  # behind each other in one text, so many at a time: a unit ends where its bytes do
+            parts = [rows[i : i + JOINED] for i in range(0, len(rows), JOINED)]
+            ids = np.concatenate([np.array(self._ids(["".join(said[i] for i in own)])[0], np.int32) for own in parts])
+            behind = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(units[i]) for i in rows])) + 1
+            many[rows] = np.diff(behind, prepend=0)
+        rest = np.flatnonzero(~plain)
+        if not len(rest):
+            return ids, many
+        others = self._ids([said[i] for i in rest.tolist()])
+        many[rest] = [len(x) for x in others]
+        ids = np.concatenate([ids, *(np.array(x, np.int32) for x in others)])
+        starts = np.zeros(len(units), np.int64)
+        order = np.concatenate([rows, rest])
+        starts[order] = np.cumsum(many[order]) - many[order]
+        return ids[spread(starts, many)], many
+
+
+def token_ids(path: str | None = None) -> UnitEncoder:
+    """Concatenated texts to ids, as the library gives them for each whole text."""
+    return worker_tools(("packing", path), lambda: UnitEncoder(_Units(path or public_tokenizers.path(VOCABULARY))))
 
 
 def pieces(docs: DataFrame, *, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): every document cut at multiples of ``length``, ids and END counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = token_bytes(vocabulary), struct.pack("<I", END)
+        encoder = token_ids(vocabulary)
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encoder(text) + end
-                    n, view = len(ids) // 4, memoryview(ids)
-                    for start in range(0, n, length):
-                        own = view[4 * start : 4 * (start + length)]
-                        for column, value in zip(out, (doc_id, start, len(own) // 4, zlib.crc32(own), n), strict=True):
-                            column.append(value)
-                yield arrow(PIECES, out)
+                ids, first = encoder(*bytes_of(part.column(1)))
+                n = np.diff(first) + 1  # with END
+                whole = np.full(int(n.sum()), END, "<u4")
+                ends = np.cumsum(n)
+                own = np.ones(len(whole), bool)
+                own[ends - 1] = False
+                whole[own] = ids
+                cut = -(-n // length)
+                start = spread(np.zeros(len(n), np.int64), cut) * length
+                size = np.minimum(np.repeat(n, cut) - start, length)
+                begin = np.repeat(ends - n, cut) + start
+                view = memoryview(whole.tobytes())
+                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
+                yield arrow(PIECES, (part.column(0).take(pa.array(np.repeat(np.arange(len(n)), cut))), start, size, sums, np.repeat(n, cut)))
 
     return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
 
@@ -222,7 +251,7 @@ def pack(docs: DataFrame, *, length: int = 2048, id_col: str = "doc_id", text_co
             rows.append((size, used.get(size, 0), n, often * n, first))
             used[size] = used.get(size, 0) + often * n
         first += often
-    places = spark.createDataFrame(rows, "class int, from long, each long, held long, first long")  # bounded by the classes
+    places = local_rows(spark, rows, "class int, from long, each long, held long, first long")  # bounded by the classes
     placed = ranks.join(F.broadcast(places), (ranks["class"] == places["class"]) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("from") + F.col("held"))).drop(places["class"])
     placed = placed.withColumn("sequence_id", F.col("first") + F.expr("(rank - `from`) div each"))
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("class"), "rank").rowsBetween(Window.unboundedPreceding, -1))

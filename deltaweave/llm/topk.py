@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, written
+from .common import arrow, bounded_batches, written
 
 BLOCK = "dim int, ids binary, exact binary, cells binary, low binary, step binary"
 #: Exact vectors that are read at a time, in the order of the bounds.
@@ -107,6 +107,7 @@ def top_k(df: DataFrame, queries: DataFrame, *, k: int = 20, scale: int = 64, bi
     candidates: all. Vectors that are null or hold null or non-finite components, and null ids, take no part; vectors
     meet only vectors of their length. Repeated rows are candidates each; a repeated query gives its rows once.
     """
+    bounded_batches(df.sparkSession)
     stored = written(blocks(vectors(df, id_col, vector_col), block, scale, bits), "va-files")
     asked = written(blocks(vectors(queries, id_col, vector_col).dropDuplicates(["vec_id"]), query_block, scale, bits).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")), "queries")
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from deltaweave.llm import bpe, jaccard, langid, linededup, packing, suffixdedup, toxicity
+from deltaweave.llm import bpe, jaccard, langid, linededup, packing, pieces, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
 from deltaweave.llm.components import components
 from deltaweave.llm.queries import QUERIES
@@ -50,15 +50,39 @@ def reference_encoding():
 
 
 def test_encoding_equals_the_library(reference_encoding):
-    encoder, decoder, _ = bpe._tools(None)
+    tools = bpe._tools(None)
     rng = random.Random(2)
-    letters = list("abcdefgh ij  \n\n\t'stTEX.,!?éüß中文😀  \x1c12")
+    letters = list("abcdefgh ij  \n\n\t'stTEX.,!?éüß中文😀  \x1c12\u3000\u00a0\u2028\x85")
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)]
-    texts += ["a" * 3000, " " * 1300, "the" * 900, "ab=-" * 700, "é" * 1500, "<|endoftext|> x"]
-    for t in texts:
-        ids = encoder(t)
-        assert ids == reference_encoding.encode_ordinary(t), t
-        assert decoder.feed(ids) + decoder.end() == t
+    texts += ["a" * 3000, " " * 1300, "the" * 900, "ab=-" * 700, "é" * 1500, "<|endoftext|> x", "", "\nx", "x\n", " x", "x "]
+    for window in (64, pieces.WINDOW):  # long texts are encoded in parts
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pieces, "WINDOW", window)
+            ids, first = tools.encoder(*concatenated(texts))
+        decoded = tools.decoder.decoded(ids, first)
+        for i, t in enumerate(texts):
+            own = ids[first[i] : first[i + 1]].tolist()
+            assert own == reference_encoding.encode_ordinary(t), t
+            assert tools.decoder.feed(own) + tools.decoder.end() == t and decoded[i] == t.encode()
+
+
+def concatenated(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+
+def test_bounded_tables_forget(reference_encoding):
+    """Tables that start anew all the time give the same ids."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé ") for _ in range(200)) for _ in range(50)]
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("TRANSITIONS", "PAIRS", "PIECES"):
+            patch.setattr(bpe, name, 20)
+        transducer = bpe.Transducer(bpe.load_ranks(public_tokenizers.path(bpe.RANKS)))
+        encoder = pieces.UnitEncoder(bpe.PieceEncoder(transducer), kept=50)
+        for _ in range(2):
+            for t in texts:
+                assert encoder(*concatenated([t]))[0].tolist() == reference_encoding.encode_ordinary(t)
 
 
 def test_decoding_ill_formed_bytes():
@@ -106,9 +130,8 @@ def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    rows = [(i, t) for i, t in ODD if i is not None] + [(100 + i, prose(rng, rng.randrange(1, 700))) for i in range(60)]
+    rows = [(i, t) for i, t in ODD if i is not None] + [(90, "a <|endoftext|> b<|endoftext|>c\n<|endoftext|>")] + [(100 + i, prose(rng, rng.randrange(1, 700))) for i in range(60)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END] for i, t in rows}
     out = packing.pack(docs(rows), length=256).collect()
     sequences, found = defaultdict(list), defaultdict(list)
@@ -262,6 +285,21 @@ def test_repeats_in_a_template_that_neighbours_miss(spark, docs):
     assert len(expected) == 128 and got == expected
 
 
+def test_one_repeat_in_a_template_of_many_documents(spark, docs):
+    """A core just too short, held by 101 documents, two of which share two words more: only that one is a repeat."""
+    rng = random.Random(72)
+    rows = []
+    for template in range(6):
+        core, pair = prose(rng, 48, 10**9), rng.sample(range(101), 2)
+        more = [prose(rng, 1, 10**9) for _ in range(2)]
+        for i in range(101):
+            before, after = (more if i in pair else [prose(rng, 1, 10**9) for _ in range(2)])
+            rows.append((1000 * template + i, " ".join([prose(rng, 30, 10**9), before, core, after, prose(rng, 30, 10**9)])))
+    got = {r.doc_id: {x for a, b in zip(r.starts, r.stops, strict=True) for x in range(a, b)} for r in suffixdedup.repeated_spans(docs(rows)).collect()}
+    expected = brute_repeats(rows, 50)
+    assert len(expected) == 6 and got == expected
+
+
 def test_repeats_of_odd_rows(spark, docs):
     out = suffixdedup.repeated_spans(docs([(1, "x " * 300), (1, "x " * 300), (None, "x " * 300), (2, "y " * 60)])).collect()
     assert {r.doc_id for r in out} <= {1, 2}
