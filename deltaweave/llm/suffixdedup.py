@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, may_hold
-from .common import arrow, grams, mix, shuffle_partitions, sliced, texts, words, written
+from .common import arrow, discard, free_tools, grams, local_rows, mix, shuffle_partitions, sliced, texts, words, written
 from .common import utf8 as bytes_of
 
 SLICE = 1 << 20
 #: So many rows on are compared as well in either order.
 NEIGHBOURS = 4
+#: Ids, of 8 bytes, that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 MARK = "h long, doc_id long, at int, after binary, before binary"
 #: What a task says: a span to drop and the document it repeats (kind 0), rows at its borders (kinds 1 to 4), or a row to settle by keys (kind 5).
 FOUND = "kind int, part int, h long, doc_id long, at int, after binary, before binary, start int, stop int, other long"
@@ -65,8 +67,8 @@ def _marks(part: pa.RecordBatch, k: int, least: int) -> tuple:
 
 
 def _context(hashed: np.ndarray, first: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit hashes of the ``reach`` words after each k-gram and before it, nearest first; 0 beyond the text."""
-    short = np.concatenate([np.maximum((hashed >> np.uint64(48)).astype(np.uint16), np.uint16(1)), np.zeros(1, np.uint16)])
+    """32-bit hashes of the ``reach`` words after each k-gram and before it, nearest first; 0 beyond the text."""
+    short = np.concatenate([np.maximum((hashed >> np.uint64(32)).astype(np.uint32), np.uint32(1)), np.zeros(1, np.uint32)])
     steps = np.arange(reach)
     after, before = (at + k)[:, None] + steps, (at - 1)[:, None] - steps
     after = np.where(after < first[doc + 1][:, None], after, len(hashed))
@@ -89,7 +91,7 @@ class _Rows:
     @classmethod
     def of(cls, batch: pa.RecordBatch, reach: int) -> _Rows:
         numbers = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "doc_id", "at"))
-        return cls(*numbers, *(np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint16).reshape(-1, reach) for n in ("after", "before")))
+        return cls(*numbers, *(np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(-1, reach) for n in ("after", "before")))
 
     def pick(self, rows) -> _Rows:
         return _Rows(*(v[rows] for v in vars(self).values()))
@@ -171,22 +173,22 @@ def _keys(rows: _Rows, reach: int) -> Iterator[tuple]:
 def _settled(rows: DataFrame, k: int, least: int) -> DataFrame:
     """Spans of those rows that aren't the first occurrence of a window of ``least`` words, and the document of the first."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                for columns in _keys(_Rows.of(batch, least - k), least - k):
-                    yield arrow(KEYS, columns)
+    rows = rows.select("h", "doc_id", "at", "after", "before")
 
-    keys = rows.select("h", "doc_id", "at", "after", "before").mapInArrow(run, KEYS)
-    first = written(keys.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
-    seen = bloom(first, "key")
+    def keys(seen: np.ndarray | None) -> DataFrame:
+        """All keys, or those that may be in the filter ``seen``."""
 
-    def recur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_hold(seen, batch.column(0).to_numpy(zero_copy_only=False))))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for columns in _keys(_Rows.of(batch, least - k), least - k) if batch.num_rows else ():
+                    own = slice(None) if seen is None else may_hold(seen, columns[0])
+                    yield arrow(KEYS, [c[own] for c in columns])
+
+        return rows.mapInArrow(run, KEYS)
 
+    first = written(keys(None).groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
     later = F.struct("doc_id", "at") > F.col("first")
-    return keys.mapInArrow(recur, KEYS).join(first, "key").where(later).select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + least).alias("stop"), F.col("first.doc_id").alias("other"))
+    return keys(bloom(first, "key")).join(first, "key").where(later).select("doc_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") - F.col("left") + least).alias("stop"), F.col("first.doc_id").alias("other"))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], k: int, least: int, settle: bool) -> Iterator[pa.RecordBatch]:
@@ -228,7 +230,7 @@ def _borders(rows: list, k: int, least: int) -> list[tuple]:
     """Spans that only rows at the borders of neighbouring tasks show; four rows a task."""
     by: dict[int, dict[int, _Rows]] = {}
     for r in rows:
-        context = [np.frombuffer(r[n], np.uint16).reshape(1, least - k) for n in ("after", "before")]
+        context = [np.frombuffer(r[n], np.uint32).reshape(1, least - k) for n in ("after", "before")]
         by.setdefault(r["part"], {})[r["kind"]] = _Rows(*(np.array([r[n]], np.int64) for n in ("h", "doc_id", "at")), *context)
     out: list[tuple] = []
     before: list[_Rows] = []
@@ -265,12 +267,13 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
     Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Earlier: in a document of smaller id, or before in the same
     one. Spans are merged; ``others``: documents they repeat. Documents without repeats have no row. An id stands for
     one document: repeated rows are no repeats of each other; rows without id or text have none. Words match by
-    hashes: k-grams of 64 bits, words around them of 16.
+    hashes: k-grams of 64 bits, words around them of 32.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     n, reach = shuffle_partitions(docs.sparkSession), least - k
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tools()
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
                 yield arrow("h long", (_marks(part, k, least)[4],))
@@ -298,7 +301,8 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
             found.append(_settled(said.where("kind = 5"), k, least))
         borders = _borders(said.where("kind between 1 and 4").collect(), k, least)
         if borders:
-            found.append(docs.sparkSession.createDataFrame(borders, "doc_id long, start int, stop int, other long"))
+            found.append(local_rows(docs.sparkSession, borders, "doc_id long, start int, stop int, other long"))
+    discard(kept)
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
@@ -313,6 +317,9 @@ def drop_repeats(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str =
     Other columns pass through; texts without repeats stay as they are.
     """
     spans = written(repeated_spans(docs, least=least, k=k, id_col=id_col, text_col=text_col), "repeats").select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("stops").alias("__stops"))
+    ids = spans.select("__id")
+    if ids.count() <= BROADCAST_IDS:  # only texts that are cut are shuffled to their spans
+        ids = F.broadcast(ids)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
@@ -328,10 +335,10 @@ def drop_repeats(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str =
             out.append(b"".join([*parts, data[at:]]).decode())
         return pd.Series(out)
 
-    joined = docs.join(spans, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
-    text = F.col(f"`{text_col}`").cast("string")
-    touched = joined.where("__id is not null").withColumn(text_col, cut(F.coalesce(text, F.lit("")), F.col("__starts"), F.col("__stops")))
-    return joined.where("__id is null").unionByName(touched).drop("__id", "__starts", "__stops")
+    own = F.col(f"`{id_col}`").cast("long") == F.col("__id")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    touched = docs.join(ids, own, "left_semi").join(spans, own).withColumn(text_col, cut(text, F.col("__starts"), F.col("__stops")))
+    return docs.join(ids, own, "left_anti").unionByName(touched.drop("__id", "__starts", "__stops"))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
