@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, sliced, spread, texts, worker_tools
+from .common import arrow, sliced, spread, texts, trimmed, worker_tools
 from .common import utf8 as bytes_of
 from .pieces import UnitEncoder, joinable
 
@@ -359,7 +359,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
                 ids, first = encoder(*bytes_of(part.column(1)))
                 yield arrow("doc_id long, ids array<int>", (part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids))))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
@@ -373,7 +373,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
                 ids = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 yield arrow("doc_id long, text string", (own.column(0), pa.array([x.decode() for x in decoder.decoded(ids, np.array([0, len(ids)]))])))
 
-    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids")).mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -391,7 +391,7 @@ def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 decoded = [hashlib.sha256(x).hexdigest() for x in tools.decoder.decoded(ids, first)]
                 yield arrow(DIGEST, (part.column(0), np.diff(first), coded, decoded))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, DIGEST)
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), DIGEST)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches
+from .common import arrow, bounded_batches, trimmed
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of common chat templates; "<|" begins all of its family.
@@ -165,7 +165,7 @@ def format_chats(df: DataFrame, *, budget: int = 2048, history: int = 512, conv_
         if out:
             yield arrow(WINDOW, zip(*out, strict=True))
 
-    return ordered_turns(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, WINDOW)
+    return ordered_turns(df, conv_col, turn_col, role_col, text_col).mapInArrow(trimmed(run), WINDOW)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -197,7 +197,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if now:
             yield row()
 
-    return windows.mapInArrow(run, DIGEST)
+    return windows.mapInArrow(trimmed(run), DIGEST)
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -96,6 +97,20 @@ def free_tools() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def trimmed(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker gives freed memory back to the system as a task ends; idle workers are then small."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # only where the C library has it
+                trim(0)
+
+    return whole
+
+
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of rows that the driver holds, without tasks that start Python workers to read it."""
     kinds = T.StructType.fromDDL(schema)

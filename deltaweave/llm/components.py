@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moves = written(choice.select(F.col("a").alias("id"), F.least(own, F.col("m"))["b"].alias("to")), "moves")
         maps.append(moves)
         half = edges.join(moves, edges["a"] == moves["id"]).select(F.col("to").alias("a"), "b")
-        edges = written(half.join(moves, half["b"] == moves["id"]).select("a", F.col("to").alias("b")).where("a <> b").distinct(), "edges")
+        before, edges = edges, written(half.join(moves, half["b"] == moves["id"]).select("a", F.col("to").alias("b")).where("a <> b").distinct(), "edges")
+        discard(before)
     if not maps:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     roots = maps[0]
@@ -34,4 +35,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         later = later.select(F.col("id").alias("via"), F.col("to").alias("then"))
         roots = roots.join(later, roots["to"] == later["via"], "left").select("id", F.coalesce("then", "to").alias("to"))
     least = roots.groupBy("to").agg(F.min("id").alias("component_id"))
-    return written(roots.join(least, "to").select("id", "component_id"), "components")
+    found = written(roots.join(least, "to").select("id", "component_id"), "components")
+    discard(edges, *maps)
+    return found

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, hash_sample, written
+from .common import arrow, bounded_batches, hash_sample, trimmed, written
 from .components import components
 
 #: Rows that the rotation is learned on, about; chosen by the hash of their id.
@@ -82,7 +82,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 *
                     unit[i] = u.tobytes()
             yield arrow("label string, rep long, copies long, dim int, code long, unit binary", (batch.column(0), batch.column(1), batch.column(2), np.diff(at).astype(np.int32), code, unit))
 
-    coded = written(classes.select("label", "rep", "copies", "x").mapInArrow(run, "label string, rep long, copies long, dim int, code long, unit binary"), "codes")
+    coded = written(classes.select("label", "rep", "copies", "x").mapInArrow(trimmed(run), "label string, rep long, copies long, dim int, code long, unit binary"), "codes")
     width = -(-64 // CHUNKS)
     chunk = lambda i: F.shiftrightunsigned(F.col("code"), i * width).bitwiseAND(F.lit((1 << width) - 1))
     tables = coded.select("label", "dim", "rep", "code", F.posexplode(F.array(*[chunk(i) for i in range(CHUNKS)])).alias("t", "value"))
@@ -100,7 +100,7 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 *
 
     left = coded.select(F.col("rep").alias("a"), F.col("unit").alias("ua"), F.col("copies").alias("copies_a"))
     right = coded.select(F.col("rep").alias("b"), F.col("unit").alias("ub"), F.col("copies").alias("copies_b"))
-    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub", "copies_a", "copies_b").mapInArrow(rerank, "a long, b long, copies_a long, copies_b long"), "vector-links")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub", "copies_a", "copies_b").mapInArrow(trimmed(rerank), "a long, b long, copies_a long, copies_b long"), "vector-links")
     linked = links.select(F.col("a").alias("rep"), F.col("copies_b").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("copies_a").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
     reached = components(links).select(F.col("id").alias("rep"), "component_id")
     per_class = coded.select("label", "rep", "copies").join(linked, "rep", "left").join(reached, "rep", "left")

@@ -17,17 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom, may_hold
-from .common import arrow, grams, mix, sliced, texts, words, written
+from .common import arrow, discard, free_tools, grams, mix, sliced, texts, trimmed, words, written
 from .common import utf8 as bytes_of
 from .components import components
 
 SLICE = 1 << 20
 #: Cells of the sketch of counts: 4 MB a task, 4 MB to each worker.
 SKETCH_BITS = 22
+SKETCH = "chunk int, share int, counts binary"
 PROFILE = "doc_id long, n long, k1 long, k2 long, counts binary, prefix array<long>"
 #: Buckets of the counts that bound an intersection, and the most that one counts to.
 BUCKETS, MOST = 64, (1 << 16) - 1
@@ -55,22 +57,29 @@ def count_levels(rows: DataFrame, k: int) -> np.ndarray:
     cells, chunk = 1 << SKETCH_BITS, 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_tools()
         counts = np.zeros(cells, np.uint32)
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
                 np.add.at(counts, (grams(words(*bytes_of(part.column(1)))[0], k) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if counts.any():  # of one task, 255 is as common as any
-            yield arrow("chunk int, counts binary", (np.arange(cells // chunk, dtype=np.int32), [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, chunk)]))
+            n = cells // chunk
+            yield arrow(SKETCH, (np.arange(n, dtype=np.int32), np.full(n, TaskContext.get().partitionId() % 64, np.int32), [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8).reshape(-1, chunk)]))
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.int64)
-        for c in group["counts"]:
-            total += np.frombuffer(c.as_buffer(), np.uint8)
-        return pa.table({"chunk": group["chunk"][:1], "counts": pa.array([(2 * np.log2(total + 1)).astype(np.uint8).tobytes()])})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, counts in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                totals.setdefault(c, np.zeros(chunk, np.uint32))[:] += np.frombuffer(counts.as_buffer(), np.uint8 if len(counts.as_buffer()) == chunk else np.uint32)
+        if totals:
+            yield arrow(SKETCH, (np.array([*totals], np.int32), np.zeros(len(totals), np.int32), [t.tobytes() for t in totals.values()]))
 
+    # sums of the tasks' sketches stream by in two levels: by chunk and a share of the tasks, then by chunk
+    sums = rows.mapInArrow(trimmed(run), SKETCH).repartition("chunk", "share").mapInArrow(trimmed(add), SKETCH).repartition("chunk").mapInArrow(trimmed(add), SKETCH)
     out = np.zeros(cells, np.uint8)
-    for row in rows.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = np.frombuffer(row["counts"], np.uint8)
+    for row in sums.collect():  # 16 MB, whatever the corpus
+        total = np.frombuffer(row["counts"], np.uint32).astype(np.float64)
+        out[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = (2 * np.log2(total + 1)).astype(np.uint8)
     return out
 
 
@@ -100,7 +109,7 @@ def profiles(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
                 yield arrow(PROFILE, (part.column(0), n, k1, k2, counts, pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)))
 
-    return rows.mapInArrow(run, PROFILE)
+    return rows.mapInArrow(trimmed(run), PROFILE)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +124,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], ["a", "b"])
 
     one, two = (classes.select(F.col("rep").alias(v), F.col("counts").alias(f"counts_{v}"), F.col("n").alias(f"n_{v}")) for v in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -141,10 +150,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFr
             links = pa.array(links, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(links), b.filter(links)], ["a", "b"])
 
-    found = written(rows.mapInArrow(sets, "id long, own binary"), "sets").dropDuplicates(["id"])
+    made = written(rows.mapInArrow(trimmed(sets), "id long, own binary"), "sets")
+    found = made.dropDuplicates(["id"])
     left = found.select(F.col("id").alias("a"), F.col("own").alias("x"))
     right = found.select(F.col("id").alias("b"), F.col("own").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(trimmed(compare), "a long, b long"), "links")
+    discard(made)
+    return links
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +195,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
             keep = np.flatnonzero(may_hold(filter_, values))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), batch.column(1).take(pa.array(row[keep])), pa.array(pos[keep], pa.int32()), pa.array(values[keep])], ["g", "n", "pos", "h"])
 
-    entries = written(groups.select("g", "n", "prefix").mapInArrow(shared_only, "g long, n long, pos int, h long").join(shared, "h"), "entries")
+    entries = written(groups.select("g", "n", "prefix").mapInArrow(trimmed(shared_only), "g long, n long, pos int, h long").join(shared, "h"), "entries")
 
     # the first round
     met = entries.groupBy("g", "n", F.col("pivot").bitwiseAND(F.lit(_LOW)).alias("tag")).agg(F.min("pos").alias("pos"), F.min(F.shiftright("pivot", 43)).alias("pivot_pos"))
@@ -193,7 +205,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     inside = groups.where("size > 1").select("g", F.col("rep").alias("pivot"))
     first = group_pairs.unionByName(inside).join(members.select("g", "rep"), "g").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     first = written(_possible(first, classes, percent), "pairs")
-    links = written(_verified(first, rows, k, percent), "links")
+    links = _verified(first, rows, k, percent)
     reached = components(links)
 
     # the second round: members that share a shingle and are not yet together; those of one group share all of its prefix
@@ -210,7 +222,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     second = near.join(one, ["g1", "c1"]).join(two, ["g2", "c2"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     second = written(_possible(second, classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        links = links.unionByName(written(_verified(second, rows, k, percent), "links"))
+        links = links.unionByName(_verified(second, rows, k, percent))
         reached = components(links)
 
     of_class = classes.join(reached, classes["rep"] == reached["id"], "left").select(*set_key, F.coalesce("component_id", "rep").alias("c"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_tools, local_rows, sliced, written
+from .common import bounded_batches, free_tools, local_rows, sliced, trimmed, written
 from .common import utf8 as bytes_of
 
 #: Declared texts that the trigrams are learned on, about, chosen by a hash; of each language so many at least, if there are.
@@ -117,7 +117,7 @@ def _evidence(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
                 passed = [part.column(f.name) for f in said]
                 yield pa.RecordBatch.from_arrays([*passed, pa.array(letters), pa.array(guess), *map(pa.array, sums.T.copy())], names)
 
-    return rows.mapInArrow(run, T.StructType([*said, *own]))
+    return rows.mapInArrow(trimmed(run), T.StructType([*said, *own]))
 
 
 def identify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", suffix_col: str | None = None, host_col: str | None = "source", least: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:

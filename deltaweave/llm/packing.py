@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, local_rows, shuffle_partitions, sliced, spread, texts, worker_tools, written
+from .common import arrow, local_rows, shuffle_partitions, sliced, spread, texts, trimmed, worker_tools, written
 from .common import utf8 as bytes_of
 from .pieces import UnitEncoder, joinable
 
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, *, length: int = 2048, id_col: str = "doc_id", text_
                 sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True)]
                 yield arrow(PIECES, (part.column(0).take(pa.array(np.repeat(np.arange(len(n)), cut))), start, size, sums, np.repeat(n, cut)))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), PIECES)
 
 
 def _knapsack(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -18,14 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bloom import bloom, may_hold
-from .common import arrow, discard, free_tools, grams, local_rows, mix, shuffle_partitions, sliced, texts, words, written
+from .common import arrow, discard, free_tools, grams, local_rows, mix, shuffle_partitions, sliced, texts, trimmed, words, written
 from .common import utf8 as bytes_of
 
 SLICE = 1 << 20
@@ -184,7 +184,7 @@ def _settled(rows: DataFrame, k: int, least: int) -> DataFrame:
                     own = slice(None) if seen is None else may_hold(seen, columns[0])
                     yield arrow(KEYS, [c[own] for c in columns])
 
-        return rows.mapInArrow(run, KEYS)
+        return rows.mapInArrow(trimmed(run), KEYS)
 
     first = written(keys(None).groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
     later = F.struct("doc_id", "at") > F.col("first")
@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
             for part in sliced(batch, 1, SLICE):
                 yield arrow("h long", (_marks(part, k, least)[4],))
 
-    seen = bloom(rows.mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    seen = bloom(rows.mapInArrow(trimmed(hashes), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,12 +290,12 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
                     after, before = _context(hashed, first, at[own], doc[own], k, reach)
                     yield arrow(MARK, (h[own], part.column(0).take(pa.array(doc[own])), (at[own] - first[doc[own]]).astype(np.int32), [a.tobytes() for a in after], [b.tobytes() for b in before]))
 
-    kept = written(rows.mapInArrow(marks, MARK), "marks")
+    kept = written(rows.mapInArrow(trimmed(marks), MARK), "marks")
     found = []
     for near, far in (("after", "before"), ("before", "after")):
         order = ["h", near, far, "doc_id", "at"]
         dealt = kept.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        said = written(dealt.mapInArrow(lambda batches, settle=near == "after": _scan(batches, k, least, settle), FOUND), "spans")
+        said = written(dealt.mapInArrow(trimmed(lambda batches, settle=near == "after": _scan(batches, k, least, settle)), FOUND), "spans")
         found.append(said.where("kind = 0").select("doc_id", "start", "stop", "other"))
         if near == "after":
             found.append(_settled(said.where("kind = 5"), k, least))
@@ -308,7 +308,7 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
         spans = spans.unionByName(more)
     spans = spans.groupBy("doc_id", "start", "stop").agg(F.min("other").alias("other"))
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sort_array(F.collect_set("other")).alias("others"))
-    return spans.mapInArrow(_merged, SPANS)
+    return spans.mapInArrow(trimmed(_merged), SPANS)
 
 
 def drop_repeats(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,24 +321,27 @@ def drop_repeats(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str =
     if ids.count() <= BROADCAST_IDS:  # only texts that are cut are shuffled to their spans
         ids = F.broadcast(ids)
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-        out = []
-        for t, a, b in zip(text, starts, stops, strict=True):
-            data = t.encode()
-            _, begin, _, _ = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-            begin = np.append(begin, len(data))
-            parts, at = [], 0
-            for i, j in zip(a, b, strict=True):
-                parts.append(data[at : begin[i]])
-                at = begin[j]
-            out.append(b"".join([*parts, data[at:]]).decode())
-        return pd.Series(out)
+    names = docs.columns
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, a, b in zip(batch.column(text_col), batch.column("__starts").to_pylist(), batch.column("__stops").to_pylist(), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                _, begin, _, _ = words(data, np.array([0, len(data)]))
+                begin = np.append(begin, len(data))
+                parts, at = [], 0
+                for i, j in zip(a, b, strict=True):
+                    parts.append(data[at : begin[i]].tobytes())
+                    at = begin[j]
+                out.append(b"".join([*parts, data[at:].tobytes()]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else batch.column(n) for n in names], names)
 
     own = F.col(f"`{id_col}`").cast("long") == F.col("__id")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    touched = docs.join(ids, own, "left_semi").join(spans, own).withColumn(text_col, cut(text, F.col("__starts"), F.col("__stops")))
-    return docs.join(ids, own, "left_anti").unionByName(touched.drop("__id", "__starts", "__stops"))
+    touched = docs.join(ids, own, "left_semi").join(spans, own).withColumn(text_col, text)
+    return docs.join(ids, own, "left_anti").unionByName(touched.mapInArrow(trimmed(cut), schema))
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, bounded_batches, written
+from .common import arrow, bounded_batches, trimmed, written
 
 BLOCK = "dim int, ids binary, exact binary, cells binary, low binary, step binary"
 #: Exact vectors that are read at a time, in the order of the bounds.
@@ -58,7 +58,7 @@ def blocks(rows: DataFrame, size: int, scale: int, bits: int) -> DataFrame:
             if ids:
                 yield arrow(BLOCK, [[v] for v in block(ids, np.array(xs))])
 
-    return rows.mapInArrow(run, BLOCK)
+    return rows.mapInArrow(trimmed(run), BLOCK)
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def top_k(df: DataFrame, queries: DataFrame, *, k: int = 20, scale: int = 64, bi
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         stored.crossJoin(asked)
-        .mapInArrow(run, "query_id long, vec_id long, score long")
+        .mapInArrow(trimmed(run), "query_id long, vec_id long, score long")
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, hash_sample, sliced, texts, words
+from .common import arrow, hash_sample, sliced, texts, trimmed, words
 from .common import utf8 as bytes_of
 
 #: Labelled texts that the machine is fitted on, about; chosen by the hash of their id.
@@ -306,7 +306,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             for part in sliced(batch, 1, SLICE):
                 yield arrow("doc_id long, score double", (part.column(0), model.score(scorer(part).astype(float))))
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, score double")
 
 
 def held_out(column):
