@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
-from .functions import literal_key
+from .functions import atom, decision, formatted, literal_key, literal_max, literal_min, negation, propagated, sanitized, sign, tautology_atom, with_sign
 from .plans import fixpoint, sat_graph, solver
 from .relation import Relation, net
 from .sources import Engine, table
@@ -242,6 +242,150 @@ def next_literal(spark, d):
     return sat_graph.next_literal(_clauses(spark, d))
 
 
+def set_minus_pairs(spark, d):
+    """(part, supplier) pairs that are sold and never returned, as often as they are sold."""
+    sold, returned = (op.map(op.filter(table(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_returnflag"), w), part="l_partkey", supp="l_suppkey") for w in ("l_returnflag <> 'R'", "l_returnflag = 'R'"))
+    return net(op.set_minus(sold, returned)).df
+
+
+def unconsolidate(spark, d):
+    """A netted relation, put beside itself and netted again."""
+    netted = op.unconsolidate(net(table(spark, d, "lineitem", "l_suppkey")))
+    return net(op.concat(netted, netted)).df
+
+
+def random_ns_properties(spark, d):
+    """Of each customer's two picked dates: how many, whether they are the customer's own, and whether another run picks the same."""
+    rows = _by_customer(spark, d)
+    picked = op.random_ns(rows, "k", "v", 2, 42, exploded=True).df.select("k", "v")
+    again = op.random_ns(rows, "k", "v", 2, 42, exploded=True).df.select("k", "v", F.lit(True).alias("again"))
+    own = rows.df.select("k", "v").distinct().withColumn("own", F.lit(True))
+    joined = picked.join(own, ["k", "v"], "left").join(again, ["k", "v"], "left")
+    return joined.groupBy("k").agg(F.count("*").alias("picked"), F.count("own").alias("own"), F.count("again").alias("again"))
+
+
+def commit_pull(spark, d):
+    """What the second pull brings after two commits: suppliers' line counts that change as returned lines go."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_returnflag")
+    engine = Engine(spark)
+    lines = engine.new_input("l_suppkey long, l_returnflag string")
+    out = engine.output(lambda at: op.counts(op.fsts(lines.at(at), "l_suppkey")), lines)
+    lines.append(line.withColumn("n", F.lit(1).cast("long")))
+    engine.commit()
+    out.pull()
+    lines.append(line.where("l_returnflag = 'R'").withColumn("n", F.lit(-1).cast("long")))
+    engine.commit()
+    return out.pull().df
+
+
+def constant_input(spark, d):
+    """Nations of two regions that are given as constants, each as often as its region is given."""
+    engine = Engine(spark)
+    regions = engine.constant([((0,), 1), ((3,), 2)], "r long")
+    engine.commit()
+    nations = table(spark, d, "nation", F.col("n_regionkey").cast("long").alias("r"), "n_name")
+    return net(op.join(nations, regions.at(engine.commit_id), "r")).df
+
+
+def loop_feedback(spark, d):
+    """Nations reached from nation 0 by a loop that feeds on itself."""
+    edges = fixpoint.scratch(_trade(spark, d).select("src", "dst"), "edges")
+    loop = fixpoint.Loop(spark)
+    loop.new_input("reached", "node int")
+    loop.set_feedback("reached", lambda at: at["reached"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").cast("int").alias("node")))
+    loop.insert("reached", [(0,)])
+    loop.commit()
+    return loop.output(lambda at: at["reached"])
+
+
+def loop_interrupt(spark, d):
+    """The number of the interrupt that stops the loop: the second condition comes true, the first never does."""
+    edges = fixpoint.scratch(_trade(spark, d).select("src", "dst"), "edges")
+    loop = fixpoint.Loop(spark)
+    loop.new_input("reached", "node int")
+    loop.set_interrupt(lambda at: at["reached"].where("node < 0"))
+    loop.set_interrupt(lambda at: at["reached"].groupBy().count().where("count > 3"))
+    loop.set_feedback("reached", lambda at: at["reached"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").cast("int").alias("node")))
+    loop.insert("reached", [(0,)])
+    stopped = loop.commit()
+    return spark.range(1).select(F.lit(stopped).cast("long").alias("stopped"), F.lit(loop.is_empty(lambda at: at["reached"].where("node < 0"))).alias("first_is_empty"))
+
+
+def loop_first_occurrences(spark, d):
+    """How many steps each nation is from nation 0: the first value of a node stays."""
+    edges = fixpoint.scratch(_trade(spark, d).select("src", "dst"), "edges")
+    loop = fixpoint.Loop(spark)
+    loop.new_first_occurrences_input("steps", "node int, d long", ["node"])
+    loop.set_feedback("steps", lambda at: at["steps"].join(edges, F.col("node") == F.col("src")).select(F.col("dst").cast("int").alias("node"), (F.col("d") + 1).alias("d")))
+    loop.insert("steps", [(0, 0)])
+    loop.commit()
+    return loop["steps"]
+
+
+def loop_frameless(spark, d):
+    """Regions that no frame takes back, beside those that it does."""
+    loop = fixpoint.Loop(spark)
+    loop.new_frameless_input("lasting", "name string")
+    loop.new_input("passing", "name string")
+    names = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("name"))
+    with loop.with_frame():
+        loop.insert("lasting", names)
+        loop.insert("passing", names)
+    return loop["lasting"].withColumn("kind", F.lit("lasting")).unionByName(loop["passing"].withColumn("kind", F.lit("passing")))
+
+
+def _signed(spark, d) -> DataFrame:
+    """Clauses by order: the supplier's number, less a multiple, negative where the line is returned."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet")
+    return line.select(F.col("l_orderkey").alias("rule"), (F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_suppkey") % 50 + 1)).alias("lit")).distinct()
+
+
+def literal_functions(spark, d):
+    lit = F.col("lit")
+    return _signed(spark, d).select("rule", "lit", negation(lit).alias("negated"), atom(lit).alias("atom"), sign(lit).alias("positive"), with_sign(F.col("rule"), sign(lit)).alias("signed"), literal_min(lit, -lit).alias("least"), literal_max(lit, F.lit(25).cast("long")).alias("greatest"))
+
+
+def causes(spark, d):
+    """The greater of two causes of each literal's atom: a propagated one comes behind a chosen one."""
+    both = _signed(spark, d).select("lit", F.when(F.col("rule") % 3 == 0, decision(F.col("rule") % 5)).otherwise(propagated(F.col("rule"), F.col("rule") % 7)).alias("cause"))
+    return both.groupBy("lit").agg(F.max("cause").alias("c")).select("lit", F.col("c.kind").cast("int").alias("kind"), F.col("c.rule").alias("rule"), F.col("c.level").alias("level"))
+
+
+def clause_lines(spark, d):
+    """Clauses in literal order as lines of a proof, and the atom by which one is a tautology."""
+    rules = _signed(spark, d).groupBy("rule").agg(F.collect_list("lit").alias("lits"))
+    return rules.select("rule", formatted(sanitized(F.col("lits"))).alias("line"), tautology_atom(F.col("lits")).alias("tautology"))
+
+
+def equivalences(spark, d):
+    """Each supplier stands for the one of half its number, so in the end for the first; negative ones for the negative."""
+    pairs = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey > 1").select(F.col("s_suppkey").cast("long").alias("atom"), F.expr("cast(s_suppkey div 2 as long)").alias("lit"))
+    return sat_graph.equivalence_closure(pairs)
+
+
+def represented_rules(spark, d):
+    """Clauses with atoms above 25 replaced by those 25 below, without tautologies."""
+    pairs = spark.range(26, 51).select(F.col("id").alias("atom"), (F.col("id") - 25).alias("lit"))
+    return sat_graph.represented(_signed(spark, d), pairs)[1]
+
+
+def reduced_rules(spark, d):
+    """Clauses that literals up to 5 don't satisfy, less what those make false."""
+    return sat_graph.reduce_rules(_signed(spark, d), spark.range(1, 6).select(F.col("id").alias("lit")))[0]
+
+
+def unsatisfied_rules(spark, d):
+    return sat_graph.reduce_rules(_signed(spark, d), spark.range(1, 6).select(F.col("id").alias("lit")))[1]
+
+
+def single_literals(spark, d):
+    return sat_graph.single_literals(_signed(spark, d))
+
+
+def base_implication(spark, d):
+    return sat_graph.base_implication(_signed(spark, d))
+
+
 def solve_instances(spark, d):
     """Random clauses of three literals, 16 instances side by side: whether each can be satisfied."""
     rules = spark.range(16 * 34).select((F.col("id") % 16).alias("instance"), F.floor(F.col("id") / 16).alias("rule"))
@@ -252,7 +396,8 @@ def solve_instances(spark, d):
 QUERIES = {f.__name__: f for f in (
     nation_top_dates, consolidate, concat, distinct, counts, map_filter, flat_map, flatten, fsts, snds, swaps, split, partition, join, join_values, semijoin_weighted, antijoin, cartesian_product,
     intersection, set_minus, top_ns3, top_ns_array, random_ns, maxes, mins, global_max, global_min, save_distinct_concat, snapshot_diff, snapshot, event_counts, closure, reachable, shortest_path,
-    frames, implications, literal_extremes, next_literal, solve_instances,
+    frames, implications, literal_extremes, next_literal, solve_instances, set_minus_pairs, unconsolidate, random_ns_properties, commit_pull, constant_input, loop_feedback, loop_interrupt,
+    loop_first_occurrences, loop_frameless, literal_functions, causes, clause_lines, equivalences, represented_rules, reduced_rules, unsatisfied_rules, single_literals, base_implication,
 )}
 
 _TRADE = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, min(l_orderkey) % 7 + 1 AS w
@@ -264,6 +409,7 @@ _LIT = "lits AS (SELECT rule, a AS lit FROM pair UNION ALL SELECT rule, b FROM p
 _SHIPPED = f"""log AS (SELECT l_suppkey, l_returnflag, 1 AS n, CASE WHEN l_shipdate < DATE '{CUT1}' THEN 1 WHEN l_shipdate < DATE '{CUT2}' THEN 2 ELSE 3 END AS commit_id FROM lineitem),
   changes AS (SELECT * FROM log UNION ALL SELECT l_suppkey, l_returnflag, -1, 2 FROM log WHERE l_returnflag = 'R' AND commit_id = 1)"""
 _GROUP = "count(*)::BIGINT AS n"
+_SIGNED = "s AS (SELECT DISTINCT l_orderkey AS rule, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * (l_suppkey % 50 + 1) AS lit FROM lineitem)"
 
 ORACLE_SQL = {
     "nation_top_dates": """WITH d AS (SELECT DISTINCT c_nationkey AS nation, o_orderdate::DATE AS order_date FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -311,4 +457,28 @@ ORACLE_SQL = {
       c AS (SELECT x, y FROM base UNION SELECT c.x, base.y FROM c JOIN base ON c.y = base.x) SELECT x, y FROM c""",
     "literal_extremes": f"""WITH {_PAIR}, {_LIT} SELECT rule, arg_min(lit, abs(lit) * 2 + (lit > 0)::INTEGER) AS low, arg_max(lit, abs(lit) * 2 + (lit > 0)::INTEGER) AS high, 1::BIGINT AS n FROM lits GROUP BY rule""",
     "next_literal": f"WITH {_PAIR}, {_LIT} SELECT lit, count(*)::BIGINT AS n FROM lits GROUP BY lit ORDER BY n DESC, abs(lit) DESC, lit DESC LIMIT 1",
+    "set_minus_pairs": f"SELECT l_partkey AS part, l_suppkey AS supp, {_GROUP} FROM lineitem a WHERE l_returnflag <> 'R' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey = a.l_suppkey AND b.l_returnflag = 'R') GROUP BY 1, 2",
+    "unconsolidate": "SELECT l_suppkey, (2 * count(*))::BIGINT AS n FROM lineitem GROUP BY 1",
+    "random_ns_properties": """WITH p AS (SELECT o_custkey AS k, least(2, count(DISTINCT o_orderdate::DATE))::BIGINT AS picked FROM orders GROUP BY 1) SELECT k, picked, picked AS own, picked AS again FROM p""",
+    "commit_pull": """WITH a AS (SELECT l_suppkey, count(*)::BIGINT AS count FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, count(*)::BIGINT AS count FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+      SELECT l_suppkey, count, sum(n)::BIGINT AS n FROM (SELECT *, 1 AS n FROM b UNION ALL SELECT *, -1 FROM a) GROUP BY 1, 2 HAVING sum(n) <> 0""",
+    "constant_input": "SELECT n_regionkey::BIGINT AS r, n_name, CASE n_regionkey WHEN 0 THEN 1 ELSE 2 END::BIGINT AS n FROM nation WHERE n_regionkey IN (0, 3)",
+    "loop_feedback": f"WITH RECURSIVE {_TRADE}, c AS (SELECT 0::INTEGER AS node UNION SELECT t.dst::INTEGER FROM c JOIN trade t ON c.node = t.src) SELECT node FROM c",
+    "loop_interrupt": f"WITH RECURSIVE {_TRADE}, c AS (SELECT 0 AS node UNION SELECT t.dst FROM c JOIN trade t ON c.node = t.src) SELECT CASE WHEN count(*) > 3 THEN 1 END::BIGINT AS stopped, count(*) FILTER (WHERE node < 0) = 0 AS first_is_empty FROM c",
+    "loop_first_occurrences": f"""WITH RECURSIVE {_TRADE}, c AS (SELECT 0::INTEGER AS node, 0::BIGINT AS d UNION SELECT t.dst::INTEGER, c.d + 1 FROM c JOIN trade t ON c.node = t.src WHERE c.d < 25)
+      SELECT node, min(d)::BIGINT AS d FROM c GROUP BY node""",
+    "loop_frameless": "SELECT r_name AS name, 'lasting' AS kind FROM region",
+    "literal_functions": f"""WITH {_SIGNED} SELECT rule, lit, -lit AS negated, abs(lit) AS atom, lit > 0 AS positive, CASE WHEN lit > 0 THEN rule ELSE -rule END AS signed, -abs(lit) AS least,
+      CASE WHEN abs(lit) > 25 THEN lit ELSE 25 END::BIGINT AS greatest FROM s""",
+    "causes": f"""WITH {_SIGNED}, c AS (SELECT lit, CASE WHEN rule % 3 = 0 THEN 0 ELSE 1 END AS kind, CASE WHEN rule % 3 = 0 THEN 0 ELSE rule END AS rule, CASE WHEN rule % 3 = 0 THEN rule % 5 ELSE rule % 7 END AS level FROM s),
+      r AS (SELECT *, row_number() OVER (PARTITION BY lit ORDER BY kind DESC, rule DESC, level DESC) AS place FROM c) SELECT lit, kind::INTEGER AS kind, rule::BIGINT AS rule, level::BIGINT AS level FROM r WHERE place = 1""",
+    "clause_lines": f"""WITH {_SIGNED} SELECT rule, string_agg(lit::VARCHAR, ' ' ORDER BY abs(lit), lit) || ' 0' AS line,
+      (SELECT min(b.lit) FROM s b WHERE b.rule = s.rule AND b.lit > 0 AND EXISTS (SELECT 1 FROM s c WHERE c.rule = b.rule AND c.lit = -b.lit)) AS tautology FROM s GROUP BY rule""",
+    "equivalences": "SELECT x, sign(x)::BIGINT AS y FROM (SELECT s_suppkey::BIGINT AS x FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT -s_suppkey::BIGINT FROM supplier WHERE s_suppkey > 1)",
+    "represented_rules": f"""WITH {_SIGNED}, r AS (SELECT DISTINCT rule, CASE WHEN lit > 25 THEN lit - 25 WHEN lit < -25 THEN lit + 25 ELSE lit END AS lit FROM s)
+      SELECT rule, lit FROM r WHERE rule NOT IN (SELECT a.rule FROM r a JOIN r b ON a.rule = b.rule AND a.lit = -b.lit)""",
+    "reduced_rules": f"WITH {_SIGNED} SELECT rule, lit FROM s WHERE rule NOT IN (SELECT rule FROM s WHERE lit BETWEEN 1 AND 5) AND lit NOT BETWEEN -5 AND -1",
+    "unsatisfied_rules": f"WITH {_SIGNED} SELECT DISTINCT rule FROM s WHERE rule NOT IN (SELECT rule FROM s WHERE lit BETWEEN 1 AND 5)",
+    "single_literals": f"WITH {_SIGNED} SELECT rule, min(lit) AS lit FROM s GROUP BY rule HAVING count(*) = 1",
+    "base_implication": f"WITH {_SIGNED}, t AS (SELECT rule, min(lit) AS a, max(lit) AS b FROM s GROUP BY rule HAVING count(*) = 2) SELECT DISTINCT x, y FROM (SELECT -a AS x, b AS y FROM t UNION ALL SELECT -b, a FROM t)",
 }

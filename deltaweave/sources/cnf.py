@@ -36,10 +36,10 @@ def parse_cnf(lines: Iterable[str]) -> Iterator[list[int]]:
         raise ValueError(f"{left} clauses are missing")
 
 
-CLAUSE = T.StructType([T.StructField("rule", T.LongType(), False), T.StructField("lit", T.LongType(), False)])
+CLAUSE = T.StructType([T.StructField("rule", T.LongType(), False), T.StructField("lit", T.LongType(), True)])
 
 
 def read_cnf(spark: SparkSession, text: str) -> Relation:
-    """(rule, lit) of a CNF text; clauses are numbered from 0, an empty clause has no row."""
-    rows = [(i, lit) for i, clause in enumerate(parse_cnf(text.splitlines())) for lit in clause]
+    """(rule, lit) of a CNF text; clauses are numbered from 0, an empty clause is one row with a null literal."""
+    rows = [(i, lit) for i, clause in enumerate(parse_cnf(text.splitlines())) for lit in clause or [None]]
     return Relation.of(spark.createDataFrame(rows, CLAUSE))

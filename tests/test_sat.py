@@ -6,6 +6,7 @@ import pytest
 from deltaweave.plans import sat_graph
 from deltaweave.plans.proof import translate, translate_all
 from deltaweave.plans.solver import Solver, report, rup_valid, sanitize, solve_all
+from deltaweave.sources import read_cnf
 
 LITS = "rule long, lit long"
 
@@ -127,3 +128,11 @@ def test_search_with_equivalence_and_conflict(spark):
     model = sat_graph.SatGraph(clauses(spark, rules)).solve()
     assert all(set(r) & set(model) for r in rules)
     assert sat_graph.SatGraph(clauses(spark, [[1], [-1]])).solve() is None
+
+
+def test_empty_clause_of_a_file_cannot_be_satisfied(spark):
+    rows = read_cnf(spark, "p cnf 1 2\n1 0\n0\n").df
+    assert sorted((r.rule, r.lit or 0) for r in rows.collect()) == [(0, 1), (1, 0)]
+    assert sat_graph.SatGraph(rows).solve() is None
+    assert [r.satisfiable for r in solve_all(rows.selectExpr("0L AS instance", "rule", "lit")).collect()] == [False]
+    assert sat_graph.SatGraph(read_cnf(spark, "p cnf 1 1\n1 0\n").df).solve() == [1]
