@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..relation import N, Relation, net
@@ -55,13 +55,19 @@ def random_ns(relation: Relation, on: str | list[str], value: str, n: int, seed:
     return Relation(ranked.df.select(*on, value, "rank", N), distinct=True) if exploded else _arrays(ranked, on, value)
 
 
+def _present(relation: Relation) -> DataFrame:
+    """Its present rows, some more than once where that saves the netting's shuffle of whole rows."""
+    relation.keys(relation.columns)
+    return relation.df if relation.positive else net(relation).df
+
+
 def _extreme(relation: Relation, on: list[str], pick, order=None) -> Relation:
     values = [c for c in relation.columns if c not in on]
     if len(values) == 1 and order is None:
-        df = net(relation).df.groupBy(*on).agg(pick(F.col(values[0])).alias(values[0]))
+        df = _present(relation).groupBy(*on).agg(pick(F.col(values[0])).alias(values[0]))
     else:  # several values, in the order of their columns, or by an order of their own
         value = F.struct(*([order.alias("order")] if order is not None else []), *values)
-        df = net(relation).df.groupBy(*on).agg(pick(value).alias("best")).select(*on, *[F.col("best")[c].alias(c) for c in values])
+        df = _present(relation).groupBy(*on).agg(pick(value).alias("best")).select(*on, *[F.col("best")[c].alias(c) for c in values])
     return Relation(df.withColumn(N, F.lit(1).cast("long")), distinct=True)
 
 
@@ -78,7 +84,7 @@ def _global(relation: Relation, pick, order) -> Relation:
     """The extreme row; of an empty relation no row, where SQL has a null."""
     columns = relation.columns
     value = F.struct(*([order.alias("order")] if order is not None else []), *columns)
-    best = net(relation).df.agg(pick(value).alias("best")).where("best is not null")
+    best = _present(relation).agg(pick(value).alias("best")).where("best is not null")
     return Relation(best.select(*[F.col("best")[c].alias(c) for c in columns], F.lit(1).cast("long").alias(N)), distinct=True)
 
 

@@ -2,7 +2,8 @@
 
 A round evaluates the rules in the order in which they were registered. The first one that adds rows to its input
 starts the order anew, so a rule runs only when those before it have nothing to add; a stop condition stands in the
-same order. Each addition is written, which keeps plans short however many rounds there are.
+same order. Each addition is written and read beside those before it; every few of them are written together, which
+keeps plans short however many rounds there are and doesn't rewrite all that is known each round.
 """
 
 from __future__ import annotations
@@ -19,6 +20,20 @@ from ..relation import Relation
 from ..sources.tables import scratch
 
 Rule = Callable[["Loop"], DataFrame]
+#: Written additions that are read side by side; one more, and they are written together.
+PARTS = 8
+
+
+class _Known:
+    """Rows that only grow, as a union of written tables."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.df, self.name, self.parts = df, name, 1
+
+    def add(self, more: DataFrame) -> None:
+        self.df, self.parts = self.df.unionByName(more), self.parts + 1
+        if self.parts > PARTS:
+            self.df, self.parts = scratch(self.df, self.name), 1
 
 
 class _Input:
@@ -27,7 +42,11 @@ class _Input:
     def __init__(self, schema: T.StructType, keys: list[str] | None, frames: bool):
         self.schema, self.keys, self.frames = schema, keys or schema.names, frames
         self.keyed = keys is not None
-        self.df: DataFrame | None = None
+        self.known: _Known | None = None
+
+    @property
+    def df(self) -> DataFrame:
+        return self.known.df
 
 
 class Loop:
@@ -40,7 +59,7 @@ class Loop:
 
     def _new(self, name: str, schema: str, keys: list[str] | None, frames: bool) -> None:
         own = _Input(T.StructType.fromDDL(schema), keys, frames)
-        own.df = self.spark.createDataFrame([], T.StructType([*own.schema.fields, T.StructField("frame", T.IntegerType(), False)]))
+        own.known = _Known(self.spark.createDataFrame([], T.StructType([*own.schema.fields, T.StructField("frame", T.IntegerType(), False)])), name)
         self.inputs[name] = own
 
     def new_input(self, name: str, schema: str) -> None:
@@ -85,7 +104,7 @@ class Loop:
         fresh = scratch(fresh, name)
         if fresh.isEmpty():
             return False
-        own.df = scratch(own.df.unionByName(fresh), name)
+        own.known.add(fresh)
         return True
 
     def commit(self) -> int | None:
@@ -112,7 +131,8 @@ class Loop:
             raise RuntimeError("no frame is open")
         for own in self.inputs.values():
             if own.frames:
-                own.df = own.df.where(F.col("frame") < self.depth)
+                own.known.df = own.df.where(F.col("frame") < self.depth)
+                own.known.parts += 1  # a step of the plan, too
         self.depth -= 1
 
     def pop_frame(self) -> int | None:
@@ -132,27 +152,34 @@ class Loop:
 
 def semi_naive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 10_000) -> DataFrame:
     """The least set that holds ``seed`` and is closed under the linear rule ``step``; each round joins only new rows."""
-    known = delta = scratch(seed.distinct(), "delta")
+    delta = scratch(seed.distinct(), "delta")
+    known = _Known(delta, "known")
     for _ in range(max_rounds):
         found = step(delta).distinct()
-        delta = scratch(found.join(known, same(found, known, found.columns), "left_anti"), "delta")
+        delta = scratch(found.join(known.df, same(found, known.df, found.columns), "left_anti"), "delta")
         if delta.isEmpty():
-            return known
-        known = scratch(known.unionByName(delta), "known")
+            return known.df
+        known.add(delta)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def closure(edges: Relation | DataFrame, src: str = "src", dst: str = "dst") -> Relation:
-    """(src, dst): all pairs with a way of one edge or more. Paths double each round, so rounds grow as their logarithm."""
+    """(src, dst): all pairs with a way of one edge or more.
+
+    Paths double each round, so rounds grow as their logarithm; a round joins only pairs of which one is new.
+    """
     df = edges.df if isinstance(edges, Relation) else edges
-    known = scratch(df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "closure")
-    size = known.count()
+    then = lambda a, b: a.alias("a").join(b.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+    delta = scratch(df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "closure")
+    known, more = _Known(delta, "closure"), then(delta, delta)
     while True:
-        more = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = scratch(known.unionByName(more).distinct(), "closure")
-        if (n := known.count()) == size:
-            return Relation.of(known, distinct=True)
-        size = n
+        found = more.distinct()
+        delta = scratch(found.join(known.df, same(found, known.df, ["src", "dst"]), "left_anti"), "closure")
+        if delta.isEmpty():
+            return Relation.of(known.df, distinct=True)
+        old = known.df
+        known.add(delta)
+        more = then(delta, known.df).unionByName(then(old, delta))
 
 
 def shortest_paths(edges: DataFrame, start, max_rounds: int = 10_000) -> Relation:

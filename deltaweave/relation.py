@@ -13,16 +13,17 @@ class Relation:
     """Value columns and ``n`` (long, never null).
 
     Rows of net multiplicity zero are absent, those of any other are present, negative ones too. ``consolidated``: each
-    row occurs once, with its net multiplicity, so that no second aggregation is planned; ``distinct``: moreover n is 1.
+    row occurs once, with its net multiplicity, so that no second aggregation is planned; ``distinct``: moreover n is 1;
+    ``positive``: every n is above 0, so that each row is present and what only asks for presence needs no netting.
     """
 
-    def __init__(self, df: DataFrame, *, consolidated: bool = False, distinct: bool = False):
-        self.df, self.consolidated, self.distinct = df, consolidated or distinct, distinct
+    def __init__(self, df: DataFrame, *, consolidated: bool = False, distinct: bool = False, positive: bool = False):
+        self.df, self.consolidated, self.distinct, self.positive = df, consolidated or distinct, distinct, positive or distinct
 
     @classmethod
     def of(cls, df: DataFrame, *, distinct: bool = False) -> Relation:
         """A plain DataFrame, each of its rows once."""
-        return cls(df.withColumn(N, F.lit(1).cast("long")), distinct=distinct)
+        return cls(df.withColumn(N, F.lit(1).cast("long")), distinct=distinct, positive=True)
 
     @property
     def columns(self) -> list[str]:

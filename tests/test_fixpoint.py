@@ -77,3 +77,22 @@ def test_runaway_rule_ends(spark):
     loop.insert("n", [(1,)])
     with pytest.raises(RuntimeError):
         loop.commit()
+
+
+def test_many_rounds_with_frames(spark):
+    loop = Loop(spark)
+    loop.new_input("x", "v int")
+    loop.set_feedback("x", lambda at: at["x"].where("v < 12").selectExpr("v + 1 as v"))
+    loop.insert("x", [(0,)])
+    loop.commit()
+    with loop.with_frame():
+        loop.insert("x", [(100,), (3,)])
+        loop.commit()
+        assert loop["x"].count() == 14
+    assert sorted(r.v for r in loop["x"].collect()) == list(range(13))
+
+
+def test_closure_of_a_long_way_and_a_circle(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(50, 51), (51, 52), (52, 50), (50, 50)]
+    got = {(r.src, r.dst) for r in fixpoint.closure(spark.createDataFrame(edges, "src int, dst int")).df.collect()}
+    assert got == {(i, j) for i in range(20) for j in range(i + 1, 21)} | {(i, j) for i in (50, 51, 52) for j in (50, 51, 52)}

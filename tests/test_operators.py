@@ -128,3 +128,12 @@ def test_no_second_aggregation(rel):
 
     r = net(rel(T, plain(1)))
     assert net(r) is r
+
+
+def test_extremes_of_positive_rows_need_one_shuffle_at_most(spark):
+    r = Relation.of(spark.createDataFrame([(1, 2), (1, 2), (2, None)], "k int, v int"))
+    plan = op.maxes(r, "k").df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert sorted(map(tuple, op.maxes(r, "k").df.collect()), key=str) == [(1, 2, 1), (2, None, 1)]
+    taken = Relation(r.df.unionByName(r.negated().df))
+    assert op.maxes(taken, "k").df.isEmpty() and op.global_max(taken).df.isEmpty()
