@@ -62,3 +62,14 @@ def test_antijoin(spark, stream, tmp_path):
 def test_consolidated_view(spark, stream, tmp_path):
     s = stream("s", KV, [[(1, 5, 2)], [(1, 5, -2), (1, 6, 1)]])
     assert total(spark, streaming.consolidated(s), tmp_path, "complete") == {(1, 6): 1}
+
+
+def test_nulls_and_large_integers_stay_whole(spark, stream, tmp_path):
+    big = (1 << 53) + 1
+    batches = [[(1, big, 1), (1, None, 1), (2, None, 1)], [(1, -5, 1)]]
+    schema = "k int, v long"
+    assert total(spark, streaming.top_ns(stream("t", schema, batches), ["k"], "v", 2).df, tmp_path / "1") == {(1, big, 1): 1, (1, -5, 2): 1, (2, None, 1): 1}
+    assert total(spark, streaming.maxes(stream("x", schema, batches), ["k"], "v").df, tmp_path / "2") == {(1, big): 1, (2, None): 1}
+    assert total(spark, streaming.mins(stream("m", schema, batches), ["k"], "v").df, tmp_path / "3") == {(1, -5): 1, (2, None): 1}
+    left, right = stream("a", schema, batches), stream("b", "k int", [[(2, 1)]])
+    assert total(spark, streaming.antijoin(left, right, ["k"]).df, tmp_path / "4") == {(1, big): 1, (1, None): 1, (1, -5): 1}
