@@ -2,8 +2,8 @@
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts a backslash is doubled and put behind the first
 character of each control string, so that no text can open or end a turn and everything reads back. Prefix sums of
-the turns' tokens choose the spans: a window holds as many new turns as fit; before them stand the system turn and
-as much history as its share allows, both without loss. Only new assistant texts are under the loss mask, each once.
+the formatted turns' tokens, marks and escapes included, choose the spans: a window holds as many new turns as fit;
+before them stand the first system turn and as much history as its share allows, both without loss. Only new assistant texts are under the loss mask, each once.
 """
 
 from __future__ import annotations
@@ -79,25 +79,20 @@ class _Windows:
     def __init__(self, conv_id, budget: int, history: int):
         self.conv_id, self.budget, self.history = conv_id, budget, history
         self.system: tuple[str, int, int, int] | None = None
-        self.turns: list[tuple[str, bool, int, int]] = []  # history, then new turns: text, whether a target, its place
+        self.turns: list[tuple[str, str, int, int]] = []  # history, then new turns: text, role, its place
         self.sums = [0]  # prefix sums of the tokens of self.turns
         self.new = 0  # the first new turn
         self.count = 0
-        self.first = True
 
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        formatted, start, end = turn_text(role, text)
+    def add(self, role: str, formatted: str, start: int, end: int, tokens: int) -> Iterator[tuple]:
         extra = self.system[3] if self.system else 0
         if len(self.turns) > self.new and extra + self.sums[-1] + tokens > self.budget:
             yield self._window()
         if len(self.turns) == self.new:  # the first new turn: history that doesn't fit beside it goes
             room = min(self.history, self.budget - extra - tokens)
             self._cut(bisect_left(self.sums, self.sums[-1] - max(room, 0)))
-        self.turns.append((formatted, role == "assistant", start, end))
+        self.turns.append((formatted, role, start, end))
         self.sums.append(self.sums[-1] + tokens)
-        if self.first and role == "system":
-            self.after_first = (formatted, start, end, tokens)
-        self.first = False
 
     def _cut(self, n: int) -> None:
         base = self.sums[n]
@@ -106,19 +101,22 @@ class _Windows:
     def _window(self) -> tuple:
         parts, context = ([self.system[0]], 1) if self.system else ([], 0)
         at, starts, ends = sum(map(len, parts)), [], []
-        for i, (formatted, target, start, end) in enumerate(self.turns):
+        for i, (formatted, role, start, end) in enumerate(self.turns):
             if i < self.new:
                 context += 1
-            elif target:
+            elif role == "assistant":
                 starts.append(at + start)
                 ends.append(at + end)
             parts.append(formatted)
             at += len(formatted)
         row = (self.conv_id, self.count, "".join(parts), context, starts, ends, self.sums[-1] + (self.system[3] if self.system else 0))
         self.count += 1
-        if self.count == 1 and getattr(self, "after_first", None):  # from now on it stands before the history, not in it
-            self.system = self.after_first
-            self.turns, self.sums = self.turns[1:], [s - self.sums[1] for s in self.sums[1:]]
+        i = None if self.system else next((i for i, turn in enumerate(self.turns) if turn[1] == "system"), None)
+        if i is not None:  # from now on it stands before the history, not in it
+            tokens = self.sums[i + 1] - self.sums[i]
+            formatted, _, start, end = self.turns.pop(i)
+            self.system = (formatted, start, end, tokens)
+            self.sums[i + 1 :] = [s - tokens for s in self.sums[i + 2 :]]
         self.new = len(self.turns)
         return row
 
@@ -138,8 +136,9 @@ def format_chats(df: DataFrame, *, budget: int = 2048, history: int = 512, conv_
     """Windows (conv_id, window, text, context, loss_start, loss_end, n_tokens), a conversation's in order.
 
     ``context``: so many first turns of the window repeat what stood before. ``loss_start``, ``loss_end``: the code
-    points of its targets. ``n_tokens``: without the marks; over ``budget`` only where one new turn (with the system
-    turn) is. ``history``: tokens that are repeated at most. Null texts and roles are empty; a null turn comes first;
+    points of its targets. ``n_tokens``: of the formatted text; over ``budget`` only where one new turn (with the system
+    turn) is. ``history``: tokens that are repeated at most. The conversation's first system turn stands before every
+    window after the one it is said in; later ones are turns as others are. Null texts and roles are empty; a null turn comes first;
     rows of a null conv_id are one conversation; repeated rows are turns each. Turns stream by in order, so a long
     conversation needs no more memory than its longest window.
     """
@@ -151,13 +150,14 @@ def format_chats(df: DataFrame, *, budget: int = 2048, history: int = 512, conv_
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                said = part.column(2).to_pylist()
-                for conv_id, role, text, tokens in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), said, count_tokens(said), strict=True):
+                roles = part.column(1).to_pylist()
+                said = [turn_text(role, text) for role, text in zip(roles, part.column(2).to_pylist(), strict=True)]
+                for conv_id, role, turn, tokens in zip(part.column(0).to_pylist(), roles, said, count_tokens([t[0] for t in said]), strict=True):
                     if now is None or conv_id != now.conv_id:
                         out += now.end() if now else ()
                         now = _Windows(conv_id, budget, history)
-                    out += now.add(role, text, tokens)
-                    size += len(text)
+                    out += now.add(role, *turn, tokens)
+                    size += len(turn[0])
                 if size > 4 << 20 and out:
                     yield arrow(WINDOW, zip(*out, strict=True))
                     out, size = [], 0
@@ -206,13 +206,3 @@ def op5_chat(spark, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return read_back(format_chats(rows.unionByName(more)))
 
-
-OP5_SQL_DIGESTS = """
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
-SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256
-FROM c GROUP BY conv_id
-"""
