@@ -2,14 +2,17 @@
 
 A rotation, learned on a bounded sample so that the signs of the rotated components are balanced and lose little,
 gives every vector a code of as many bits as it has dimensions, 64 at most. Codes are cut into chunks, each with a
-table of its own: two codes that differ in fewer than twice as many bits as there are chunks agree in some chunk up to
-one bit, so each vector looks up its own chunk and those one bit away. What the tables bring within the radius is
-compared by its vectors. Equal vectors are one entry with a multiplicity, so copies don't meet each other.
+table of its own: of two codes that differ in at most the radius, some chunk differs in no more than the radius divided
+by the number of chunks, so each vector looks up its own chunk and those that near. With more vectors of a label the
+chunks are fewer and wider, so that a lookup meets about as many rows at every size; what is found stays the same. What
+the tables bring within the radius is compared by its vectors. Equal vectors are one entry with a multiplicity, so copies don't meet each other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,8 @@ from .components import components
 
 #: Rows that the rotation is learned on, about; chosen by the hash of their id.
 SAMPLE = 10_000
-CHUNKS = 6
+#: Bits in which the codes of a pair may differ.
+RADIUS = 11
 
 
 def learn_rotation(x: np.ndarray, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +49,22 @@ def _codes(units: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndar
     return (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
 
 
-def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 * CHUNKS - 1, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def tables_of(rows: int, bits: int, radius: int) -> tuple[int, int, int]:
+    """(chunks, bits of a chunk, bits that a lookup may be off): the cheapest that find every pair within ``radius``.
+
+    A row costs its lookups and what they meet in a table of ``rows``.
+    """
+
+    def cost(chunks: int) -> float:
+        width, off = -(-bits // chunks), radius // chunks
+        return chunks * sum(comb(width, j) for j in range(off + 1)) * (1 + rows / 2**width)
+
+    fit = [c for c in range(-(-bits // 24), min(bits, radius + 1) + 1) if (c - 1) * -(-bits // c) < bits]  # no chunk is empty
+    chunks = min(fit or [-(-bits // 24)], key=cost)
+    return chunks, -(-bits // chunks), radius // chunks
+
+
+def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = RADIUS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row a row of ``df``.
 
     Vectors link when their labels are equal and not null, their lengths equal, and their cosine in double precision
@@ -83,10 +102,12 @@ def near_duplicates(df: DataFrame, *, threshold: float = 0.93, radius: int = 2 *
             yield arrow("label string, rep long, copies long, dim int, code long, unit binary", (batch.column(0), batch.column(1), batch.column(2), np.diff(at).astype(np.int32), code, unit))
 
     coded = written(classes.select("label", "rep", "copies", "x").mapInArrow(trimmed(run), "label string, rep long, copies long, dim int, code long, unit binary"), "codes")
-    width = -(-64 // CHUNKS)
+    size = coded.groupBy("label", "dim").count().agg(F.max("count").alias("rows"), F.max("dim").alias("dim")).first()
+    chunks, width, off = tables_of(size["rows"] or 0, min(64, size["dim"] or 1), radius)
+    flips = [sum(1 << j for j in flipped) for n in range(off + 1) for flipped in combinations(range(width), n)]
     chunk = lambda i: F.shiftrightunsigned(F.col("code"), i * width).bitwiseAND(F.lit((1 << width) - 1))
-    tables = coded.select("label", "dim", "rep", "code", F.posexplode(F.array(*[chunk(i) for i in range(CHUNKS)])).alias("t", "value"))
-    probes = tables.select("label", "dim", F.col("rep").alias("a"), F.col("code").alias("code_a"), "t", F.explode(F.array(F.col("value"), *[F.col("value").bitwiseXOR(F.lit(1 << j)) for j in range(width)])).alias("value"))
+    tables = coded.select("label", "dim", "rep", "code", F.posexplode(F.array(*[chunk(i) for i in range(chunks)])).alias("t", "value"))
+    probes = tables.select("label", "dim", F.col("rep").alias("a"), F.col("code").alias("code_a"), "t", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
     apart = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code"))) <= radius
     index = tables.withColumnRenamed("rep", "b")
     pairs = probes.join(index, ["label", "dim", "t", "value"]).where((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()

@@ -78,6 +78,21 @@ def test_embedding_near_duplicates(spark):
     assert embdedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_tables_find_every_pair_within_the_radius(spark, monkeypatch):
+    for rows in (0, 100, 20_000, 1_000_000, 10**9):
+        for bits in (1, 7, 16, 32, 63, 64):
+            for radius in (0, 5, 11):
+                chunks, width, off = embdedup.tables_of(rows, bits, radius)
+                assert chunks * (off + 1) > radius and chunks * width >= bits and (chunks - 1) * width < 64
+    assert embdedup.tables_of(10**6, 64, 11)[0] < embdedup.tables_of(10**3, 64, 11)[0]
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((30, 64))
+    df = frame(spark, [(i, list(base[i % 30] + rng.standard_normal(64) * 0.15), "a") for i in range(120)])
+    few = sorted(map(tuple, embdedup.near_duplicates(df).collect()))
+    monkeypatch.setattr(embdedup, "tables_of", lambda rows, bits, radius: (4, 16, 2))
+    assert sorted(map(tuple, embdedup.near_duplicates(df).collect())) == few and any(n for _, n, _, _ in few)
+
+
 def digest(rows):
     turns, loss = hashlib.sha256(), "".join(t or "" for _, r, t in rows if r == "assistant")
     for _, role, text in rows:
@@ -109,6 +124,18 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_chat_budget_counts_marks_and_any_system_turn_stays(spark):
+    talks = {1: [(i, ("user", "assistant")[i % 2], "ok") for i in range(900)], 2: [(i, "system" if i == 3 else "user", f"turn {i}") for i in range(120)]}
+    df = spark.createDataFrame([(c, *r) for c, rows in talks.items() for r in rows], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(df, budget=256, history=64)
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(made).collect()} == {c: digest(rows) for c, rows in talks.items()}
+    windows = made.collect()
+    for w, n in zip(windows, chat.count_tokens([w.text for w in windows]), strict=True):
+        assert w.n_tokens == n <= 256
+        if w.conv_id == 2 and w.window:
+            assert next(chat.read_turns(w.text))[:2] == ("system", "turn 3")
+
+
 def test_escape_is_reversible():
     rng = random.Random(4)
     for _ in range(2000):
