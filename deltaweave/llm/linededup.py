@@ -45,11 +45,12 @@ def keep_bitmaps(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, id_
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    rows = (
+    rows = written(  # texts are split and hashed once; the range sample, the sort and the bitmaps read the hashes
         _documents(docs, id_col, text_col)
         .select("doc_id", "seal", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
         .select("doc_id", "seal", "at", _key(F.col("line")).alias("key"))
-        .select("doc_id", "seal", "at", F.xxhash64("key").alias("h"), F.hash("key").alias("g"), (F.char_length("key") >= max(1, min_chars)).alias("counts"))
+        .select("doc_id", "seal", "at", F.xxhash64("key").alias("h"), F.hash("key").alias("g"), (F.char_length("key") >= max(1, min_chars)).alias("counts")),
+        "line-hashes",
     )
     sorted_rows = rows.where("counts").select("h", "g", "doc_id", "at").repartitionByRange(n, "h", "g", "doc_id").sortWithinPartitions("h", "g", "doc_id", "at")
     first = F.row_number().over(Window.partitionBy("h", "g", "doc_id").orderBy("at")) == 1
