@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import bloom, may_hold
-from .common import arrow, discard, free_tools, grams, local_rows, mix, shuffle_partitions, sliced, texts, trimmed, words, written
+from .common import arrow, discard, free_tools, grams, local_rows, mix, shuffle_partitions, sliced, small_range_sample, texts, trimmed, words, written
 from .common import utf8 as bytes_of
 
 SLICE = 1 << 20
@@ -295,7 +295,8 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str
     for near, far in (("after", "before"), ("before", "after")):
         order = ["h", near, far, "doc_id", "at"]
         dealt = kept.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        said = written(dealt.mapInArrow(trimmed(lambda batches, settle=near == "after": _scan(batches, k, least, settle)), FOUND), "spans")
+        with small_range_sample(docs.sparkSession, n, 8 * reach + 80):  # two contexts of 4 bytes a word, numbers and lengths
+            said = written(dealt.mapInArrow(trimmed(lambda batches, settle=near == "after": _scan(batches, k, least, settle)), FOUND), "spans")
         found.append(said.where("kind = 0").select("doc_id", "start", "stop", "other"))
         if near == "after":
             found.append(_settled(said.where("kind = 5"), k, least))

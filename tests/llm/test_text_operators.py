@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from deltaweave.llm import bpe, jaccard, langid, linededup, packing, pieces, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
+from deltaweave.llm.common import RANGE_SAMPLE, grams, small_range_sample, words
 from deltaweave.llm.components import components
 from deltaweave.llm.queries import QUERIES
 
@@ -205,6 +206,22 @@ def test_near_duplicates_of_the_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == [1, 4, 5]
 
 
+def test_sketch_sends_levels_to_the_driver(spark, docs, monkeypatch):
+    rng, sent = random.Random(41), []
+    rows = [(i, prose(rng, 300, 40)) for i in range(30)]
+    frame = type(spark.range(0))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    levels = jaccard.count_levels(docs(rows).select("doc_id", "text"), 2)
+    assert sum(len(r["counts"]) for r in sent[-1]) <= 1 << jaccard.SKETCH_BITS  # a byte a cell
+    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    hashed = [words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in rows]
+    for own in hashed:
+        np.add.at(counts, (grams(own, 2) >> np.uint64(64 - jaccard.SKETCH_BITS)).astype(np.int64), 1)
+    met = counts > 0
+    assert met.sum() > 1000 and (levels[met] >= (2 * np.log2(counts[met] + 1)).astype(np.uint8)).all() and levels.max() > 2
+
+
 def test_null_and_repeated_ids_in_the_pipeline(spark, tmp_path):
     rows = [(i, "alpha beta gamma delta " * 20, "en", "x") for i in range(40)] + [(None, "alpha gamma beta delta " * 20, "en", "x"), (None, "12 %%", "en", "x"), (7, "34 %%", "en", "x")]
     df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -300,6 +317,33 @@ def test_one_repeat_in_a_template_of_many_documents(spark, docs):
     assert len(expected) == 6 and got == expected
 
 
+def test_sample_for_ranges_is_bounded(spark, docs):
+    text = prose(random.Random(42), 200_000, 50_000)
+
+    def sent():
+        jvm = spark.sparkContext._jvm
+        found = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s := found.apply(i)).stageId(): s.resultSize() for i in range(found.size())}
+
+    before = set(sent())
+    n, name = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        out = suffixdedup.repeated_spans(docs([(1, text), (2, text)])).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert [(r.doc_id, r.starts, r.stops, r.others) for r in out] == [(2, [0], [200_000], [1])]
+    assert max(size for k, size in sent().items() if k not in before) < 1.5 * RANGE_SAMPLE
+    assert spark.conf.get(name) == "100"
+    spark.conf.set(name, "70")  # one that is set stays
+    try:
+        with small_range_sample(spark, 211, 280):
+            assert spark.conf.get(name) == "70"
+        assert spark.conf.get(name) == "70"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_repeats_of_odd_rows(spark, docs):
     out = suffixdedup.repeated_spans(docs([(1, "x " * 300), (1, "x " * 300), (None, "x " * 300), (2, "y " * 60)])).collect()
     assert {r.doc_id for r in out} <= {1, 2}
