@@ -34,7 +34,10 @@ GRAIN = 4
 COLUMNS = 3000
 #: Share of sequences by which the linear program may miss its bound.
 TIGHT = 5e-4
-SLICE = 1 << 20
+#: Bytes of texts that are encoded at a time: what a worker holds besides its tables is some hundred times that.
+SLICE = 1 << 18
+#: Units that each of the two generations of a worker's table holds at most, of about 36 bytes.
+KEPT = 200_000
 #: Units that the library gets in one text; what it holds of a text is a hundred times the text.
 JOINED = 4096
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -86,7 +89,7 @@ class _Units:
 
 def token_ids(path: str | None = None) -> UnitEncoder:
     """Concatenated texts to ids, as the library gives them for each whole text."""
-    return worker_tools(("packing", path), lambda: UnitEncoder(_Units(path or public_tokenizers.path(VOCABULARY))))
+    return worker_tools(("packing", path), lambda: UnitEncoder(_Units(path or public_tokenizers.path(VOCABULARY)), KEPT))
 
 
 def pieces(docs: DataFrame, *, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

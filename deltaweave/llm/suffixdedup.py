@@ -245,20 +245,18 @@ def _borders(rows: list, k: int, least: int) -> list[tuple]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's spans, sorted by start, as spans that don't touch."""
+    """Each document's spans, sorted by start, as spans that don't touch; on arrays, as a batch may hold millions of spans."""
     for batch in batches:
-        starts, stops = [], []
-        for spans in batch.column(1).to_pylist():
-            a, b = [], []
-            for s in spans:
-                if b and s["start"] <= b[-1]:
-                    b[-1] = max(b[-1], s["stop"])
-                else:
-                    a.append(s["start"])
-                    b.append(s["stop"])
-            starts.append(a)
-            stops.append(b)
-        yield arrow(SPANS, (batch.column(0), starts, stops, batch.column(2)))
+        lists = batch.column(1)
+        start, stop = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+        doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        ahead = np.maximum.accumulate(stop + (doc << 32))  # the farthest stop so far; no document reaches into the next one
+        first = np.ones(len(start), bool)
+        first[1:] = (start + (doc << 32))[1:] > ahead[:-1]
+        last = np.append(first[1:], True)[: len(first)]
+        at = np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(lists)))]).astype(np.int32)
+        starts, stops = start[first].astype(np.int32), (ahead[last] & 0xFFFFFFFF).astype(np.int32)
+        yield arrow(SPANS, (batch.column(0), *(pa.ListArray.from_arrays(at, x) for x in (starts, stops)), batch.column(2)))
 
 
 def repeated_spans(docs: DataFrame, *, least: int = 50, k: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

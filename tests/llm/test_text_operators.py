@@ -3,18 +3,21 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from deltaweave.llm import bpe, jaccard, langid, linededup, packing, pieces, suffixdedup, toxicity
 from deltaweave.llm.bloom import bloom, may_hold
-from deltaweave.llm.common import RANGE_SAMPLE, grams, small_range_sample, words
+from deltaweave.llm.common import RANGE_SAMPLE, grams, small_range_sample, utf8, words
 from deltaweave.llm.components import components
 from deltaweave.llm.queries import QUERIES
 
@@ -344,6 +347,53 @@ def test_sample_for_ranges_is_bounded(spark, docs):
         spark.conf.unset(name)
 
 
+def traced(run):
+    """What ``run`` gives, and the bytes of arrays and objects that it held at most."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_holds_little_of_a_batch(monkeypatch):
+    """A worker's arrays and tables stay small even if each word of a batch is new."""
+    caught = []
+    monkeypatch.setattr(packing, "texts", lambda *_: SimpleNamespace(mapInArrow=lambda run, _: caught.append(run)))
+    monkeypatch.setattr("deltaweave.llm.common._tools", {})
+    packing.pieces(None)
+    rng = random.Random(5)
+    rows = [" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(6000)) for _ in range(32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32)), pa.array(rows)], ["doc_id", "text"])
+    packing.token_ids()
+    out, peak = traced(lambda: [row for part in caught[0](iter([batch])) for row in part.to_pylist()])
+    ids = packing.token_ids()(*utf8(batch.column(1)))[1]
+    assert sum(r["length"] for r in out) == ids[-1] + len(rows) and batch.nbytes > 2_000_000
+    assert peak < 48_000_000
+
+
+def test_spans_merge_on_arrays():
+    """As one by one, with some bytes a span; a document's last span and the next one's first don't meet."""
+    rng = random.Random(6)
+    spans = [sorted((a := rng.randrange(1 << (i % 25)), a + rng.randrange(1, 60)) for _ in range(rng.randrange(1, 900))) for i in range(200)]
+    spans += [[(5, 2**31 - 1)], [(0, 50), (50, 60), (61, 99)]]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    rows = pa.array([[{"start": a, "stop": b} for a, b in own] for own in spans], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(spans))), rows, pa.array([[7]] * len(spans), pa.list_(pa.int64()))], ["doc_id", "spans", "others"])
+    for part in (batch, batch.slice(3, 150), batch.slice(0, 0)):
+        (out,), peak = traced(lambda part=part: list(suffixdedup._merged([part])))
+        assert peak < 100 * max(100, len(part.column(1).flatten()))
+        for i, starts, stops, others in zip(*(out.column(n).to_pylist() for n in range(4)), strict=True):
+            want = []
+            for a, b in spans[i]:
+                if want and a <= want[-1][1]:
+                    want[-1][1] = max(want[-1][1], b)
+                else:
+                    want.append([a, b])
+            assert [*zip(starts, stops, strict=True)] == [*map(tuple, want)] and others == [7]
+        assert out.num_rows == part.num_rows
+
+
 def test_repeats_of_odd_rows(spark, docs):
     out = suffixdedup.repeated_spans(docs([(1, "x " * 300), (1, "x " * 300), (None, "x " * 300), (2, "y " * 60)])).collect()
     assert {r.doc_id for r in out} <= {1, 2}
